@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, mixing, toxicity
+from . import chat, decontam, extract, mixing, pii, toxicity
 from .common import table
 
 
@@ -34,12 +34,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(rows.unionByName(more)))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op6_main_text": op6_main_text,
     "op9_chat_format": op9_chat_format,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {
