@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, mixing, pii, toxicity
+from . import chat, decontam, extract, mixing, neardup, pii, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.digest(extract.main_text(table(spark, sf_dir, "pages")))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op6_main_text": op6_main_text,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_chat_format": op9_chat_format,
     "op10_pseudonyms": op10_pseudonyms,
 }
