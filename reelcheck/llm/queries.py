@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, mixing, neardup, pii, toxicity
+from . import chat, decontam, extract, linededup, mixing, neardup, pii, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -45,6 +49,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_main_text": op6_main_text,
     "op7_near_duplicates": op7_near_duplicates,
@@ -54,4 +59,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
+    "op3_line_dedup": linededup.SQL,
 }
