@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, linededup, mixing, neardup, pii, toxicity
-from .common import table
+from . import chat, decontam, extract, lblm, linededup, mixing, neardup, pii, toxicity
+from .common import crc_rest, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.scores(table(spark, sf_dir, "documents"), crc_rest("doc_id", 7) == 2)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_main_text": op6_main_text,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_lm_scores": op8_lm_scores,
     "op9_chat_format": op9_chat_format,
     "op10_pseudonyms": op10_pseudonyms,
 }

@@ -78,17 +78,23 @@ class WordHasher:
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words of a string column, and the text (its row) of each. Nulls have none."""
+        return self.words(texts)[:2]
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As column(), and the first two bytes of each word."""
         data, offsets = text_bytes(texts)
-        hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, rows, leads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
         at, stop = int(offsets[0]), int(offsets[-1])
         while at < stop:
             to = self.cut(data, at, stop, offsets)
             i, j = np.searchsorted(offsets, at), np.searchsorted(offsets, to)
-            h, start, _ = self.piece(data[at:to], offsets[i:j] - at)
+            raw = data[at:to]
+            h, start, end = self.piece(raw, offsets[i:j] - at)
             hashes.append(h)
             rows.append(np.searchsorted(offsets, start + at, "right") - 1)
+            leads.append(self.lower[raw[start]].astype(np.uint16) * 256 + self.lower[raw[np.minimum(start + 1, end - 1)]])
             at = to
-        return np.concatenate(hashes), np.concatenate(rows)
+        return np.concatenate(hashes), np.concatenate(rows), np.concatenate(leads)
 
     def cut(self, data: np.ndarray, at: int, stop: int, offsets: np.ndarray) -> int:
         """Where the next piece ends: at a place where no word goes on."""
@@ -116,3 +122,30 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def runs(rows: np.ndarray, n: int) -> np.ndarray:
     """Offsets of the n rows in a sorted list of row numbers."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+class Lookup:
+    """Places of 64-bit keys in a table: one probe for most, a binary search for those whose slot another key has."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys.astype(np.uint64))
+        self.mask = np.uint64((1 << max(10, int(4 * max(1, len(keys))).bit_length())) - 1)
+        at = (self.keys & self.mask).astype(np.int64)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        self.slots[at] = np.arange(len(keys), dtype=np.int32)
+        self.shared = np.zeros(int(self.mask) + 1, bool)
+        self.shared[at[self.slots[at] != np.arange(len(keys))]] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each in the sorted keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int64)
+        at = (h & self.mask).astype(np.int64)
+        place = self.slots[at].astype(np.int64)
+        wrong = (place >= 0) & (self.keys[place] != h)
+        retry = np.flatnonzero(wrong & self.shared[at])
+        place[wrong] = -1
+        if len(retry):
+            p = np.minimum(np.searchsorted(self.keys, h[retry]), len(self.keys) - 1)
+            place[retry] = np.where(self.keys[p] == h[retry], p, -1)
+        return place
