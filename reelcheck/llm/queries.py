@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, lblm, linededup, mixing, neardup, pii, toxicity
+from . import bm25, chat, decontam, extract, lblm, linededup, mixing, neardup, pii, toxicity
 from .common import crc_rest, table
 
 
@@ -23,6 +23,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), "text"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op4_search": op4_search,
     "op5_decontaminate": op5_decontaminate,
     "op6_main_text": op6_main_text,
     "op7_near_duplicates": op7_near_duplicates,
