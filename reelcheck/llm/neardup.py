@@ -5,12 +5,14 @@
 2. Inverted lists hold the sketches' values.  Two sets as similar as wanted share far more than ``share`` of their
    sketches (the chance that they don't is below 1e-6 at the default), so of each sketch only the rarest values
    need a place in a list: with so many left out, two sketches with that overlap still meet.  That is
-   what keeps values of very common passages out of the lists, without a cap.
-3. In each list all nodes are compared with one hub; nodes that then are still in another component than the hub are
-   compared with all nodes of the list in other components, so that no link is lost while large groups of
-   copies need one comparison for each node.
-4. A comparison is the union-sketch estimate first (with a margin of some five standard deviations), then the
-   exact Jaccard similarity of the full sets.
+   what keeps values of very common passages out of the lists, without a cap.  Nodes alone in their lists are done.
+3. The nodes that are left get full sets and the same lists once more, now exactly: of a set of n only the rarest
+   n - ceil(similarity * n) + 1 values need a place for all links to meet.
+4. What hangs together by these lists is a bundle; all links are inside bundles.  A bundle is compared
+   in blocks: its nodes are dealt to chunks of bounded size, and each pair of chunks is a task of its own that hands on no
+   more than a spanning forest of the links that it finds.  In a block, pairs are estimated by the union of
+   their sketches (with a margin of some five standard deviations) and confirmed by the exact Jaccard similarity of the full sets;
+   large blocks get all intersections from one matrix product instead.
 5. Components of the confirmed links, by contraction rounds in Spark.
 
 Defined results: documents without words have size 0 and are linked with nothing; with fewer words than a shingle the
@@ -27,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import keep, sent, ship
 from .graph import components
 from .textbytes import MULTIPLIER, WordHasher, mixed, runs
 
 #: Texts that are hashed at once.
 ROWS = 1024
-#: Up to so many ids (8 bytes each) are sent to all executors instead of sending the texts around.
-BROADCAST_IDS = 1_000_000
 
 
 def shingles(h: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -93,88 +93,117 @@ def arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def estimate_rows(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    """a, b, sketch_a, sketch_b -> the pairs whose union-sketch estimate is ``least`` or more."""
-    for b in batches:
-        good = []
-        for x, y in zip(arrays(b.column(2)), arrays(b.column(3)), strict=True):
-            values, n = np.unique(np.concatenate([x, y]), return_counts=True)
-            n = n[:k]
-            good.append(len(n) > 0 and (n == 2).sum() >= least * len(n))
-        yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-
-def verify_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """a, b, items_a, items_b -> the pairs with den * intersection >= num * union."""
-    for b in batches:
-        good = []
-        for x, y in zip(arrays(b.column(2)), arrays(b.column(3)), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(den * both >= num * (len(x) + len(y) - both))
-        yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+def alike(x: np.ndarray, y: np.ndarray, k: int, num: int, den: int, margin: float) -> bool:
+    """Whether two sorted sets are linked: first by the union of their sketches, then exactly."""
+    values, n = np.unique(np.concatenate([x[:k], y[:k]]), return_counts=True)
+    n = n[:k]
+    if (n == 2).sum() < (num / den - margin) * len(n):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 16_384) -> np.ndarray:
+    """Sizes of all intersections, as matrix products over slices of the values that occur twice or more."""
+    values, column, n = np.unique(np.concatenate([*xs, *ys]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in (*xs, *ys)])
+    shared = n[column] > 1
+    column, row = (np.cumsum(n > 1) - 1)[column[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    total = np.zeros((len(xs), len(ys)), np.float32)
+    for at in range(0, int((n > 1).sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(xs) + len(ys), width), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        total += m[: len(xs)] @ m[len(xs) :].T
+    return total
+
+
+def forest(edges: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of the edges that connect something new."""
+    above: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while v in above:
+            v = above[v]
+        return v
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            above[x] = y
+            yield a, b
+
+
+def block_links(block: pa.Table, k: int, num: int, den: int, margin: float, pairwise: int = 2000) -> pa.Table:
+    """One pair of chunks of a bundle (bundle, i, j, part, node, items) -> links a, b."""
+    i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+    part = block.column("part").to_numpy()
+    nodes, sets = block.column("node").to_numpy(), arrays(block.column("items").combine_chunks())
+    left = np.flatnonzero(part == i)
+    right = left if i == j else np.flatnonzero(part == j)
+    n = np.array([len(s) for s in sets])
+    fits = den * np.minimum(n[left][:, None], n[right]) >= num * np.maximum(n[left][:, None], n[right])
+    if i == j:
+        fits = np.triu(fits, 1)
+    if fits.sum() > pairwise:
+        both = intersections([sets[x] for x in left], [sets[y] for y in right])
+        x, y = np.nonzero(fits & (den * both >= num * (n[left][:, None] + n[right] - both)))
+        found = forest(zip(nodes[left[x]].tolist(), nodes[right[y]].tolist(), strict=True))
+    else:
+        found = forest((int(nodes[left[x]]), int(nodes[right[y]])) for x, y in zip(*np.nonzero(fits), strict=True) if alike(sets[left[x]], sets[right[y]], k, num, den, margin))
+    links = list(found)
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def rarest(values: DataFrame, share: float) -> DataFrame:
+    """node, s (its values), v -> node, v: of each node its rarest values, as many as two that share ``share`` of theirs need to meet.
+
+    Values that only one node has take the first places, but no row."""
+    df = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    places = F.col("s") - F.ceil(F.col("s") * F.lit(share)) + 1 - (F.col("s") - F.count(F.lit(1)).over(own))
+    ranked = values.join(df, "v").withColumn("places", places).withColumn("r", F.row_number().over(own.orderBy("df", "v")))
+    return ranked.where("r <= places").select("node", "v")
 
 
 class Finder:
-    def __init__(self, docs: DataFrame, shingle: int, num: int, den: int, k: int, share: float, margin: float):
+    def __init__(self, docs: DataFrame, shingle: int, num: int, den: int, k: int, share: float, margin: float, chunk: int):
         ship(__name__, WordHasher.__module__)
-        self.texts, self.shingle, self.num, self.den, self.k, self.share, self.margin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, num, den, k, share, margin
+        self.texts, self.shingle, self.num, self.den, self.k, self.share, self.margin, self.chunk = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, num, den, k, share, margin, chunk
         self.base = keep(self.texts.mapInArrow(lambda it: sketch_rows(it, shingle, k), "doc_id long, n long, node long, sketch array<long>"))
         self.nodes = keep(self.base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    def postings(self) -> DataFrame:
-        """node, n, v: each node at its rarest sketch values, as many as are needed to meet."""
-        values = self.nodes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-        df = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        shared = values.join(df, "v")
-        own = Window.partitionBy("node")
-        least = F.ceil(F.col("s") * F.lit(self.share))
-        places = F.col("s") - least + 1 - (F.col("s") - F.count(F.lit(1)).over(own))
-        ranked = shared.withColumn("places", places).withColumn("r", F.row_number().over(own.orderBy("df", "v")))
-        return keep(ranked.where("r <= places").select("node", "n", "v"))
-
-    def near_sizes(self) -> str:
-        return f"{self.den} * least(x.n, y.n) >= {self.num} * greatest(x.n, y.n)"
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs a, b that are links."""
-        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        k, least, num, den, shingle = self.k, self.num / self.den - self.margin, self.num, self.den, self.shingle
-        sketches = self.nodes.select("node", "sketch")
-        close = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        close = keep(close.mapInArrow(lambda it: estimate_rows(it, k, least), "a long, b long"))
-        needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = keep(needed.join(self.nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id")).distinct())
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        full = keep(texts.mapInArrow(lambda it: set_rows(it, shingle), "node long, items array<long>").dropDuplicates(["node"]))
-        both = close.join(full.toDF("a", "ia"), "a").join(full.toDF("b", "ib"), "b").select("a", "b", "ia", "ib")
-        return keep(both.mapInArrow(lambda it: verify_rows(it, num, den), "a long, b long"))
+    def candidates(self) -> DataFrame:
+        """Full sets of the nodes that share a list of the sketches' rarest values with another."""
+        shingle = self.shingle
+        posts = keep(rarest(self.nodes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("v")), self.share))
+        lists_ = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
+        met = posts.join(lists_, "v", "left_semi").select("node").distinct()
+        ids = keep(met.join(self.nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id")).distinct())
+        texts = self.texts.join(sent(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return keep(texts.mapInArrow(lambda it: set_rows(it, shingle), "node long, items array<long>").where("size(items) > 0").dropDuplicates(["node"]))
 
     def links(self) -> DataFrame:
         """Confirmed links between nodes, enough of them to connect all that is connected."""
-        posts = self.postings()
-        hubs = posts.groupBy("v").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        listed = keep(posts.join(hubs, "v"))
-        first = self.confirm(listed.where(f"node <> hub AND {self.near_sizes().replace('x.n', 'n').replace('y.n', 'hub_n')}").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        found = components(first)
-        root = lambda c: found.toDF(c, f"{c}_root")
-        rooted = listed.join(root("node"), "node", "left").join(root("hub"), "hub", "left")
-        rooted = keep(rooted.select("v", "node", "n", "hub", F.coalesce("node_root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")))
-        open_ = rooted.where("root <> hub_root")
-        if open_.isEmpty():
-            return first
-        lists_left = open_.select("v").distinct()
-        members = rooted.join(lists_left, "v", "left_semi")
-        x, y = open_.alias("x"), members.where("node <> hub").alias("y")
-        rest = x.join(y, F.expr(f"x.v = y.v AND x.root <> y.root AND (x.node < y.node OR y.root = y.hub_root) AND {self.near_sizes()}"))
-        second = self.confirm(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        return first.unionAll(second)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k: int = 64, share: float = 0.55, margin: float = 0.22) -> DataFrame:
+        k, num, den, margin = self.k, self.num, self.den, self.margin
+        full = self.candidates()
+        posts = keep(rarest(full.select("node", F.size("items").alias("s"), F.explode("items").alias("v")), self.num / self.den))
+        hubs = posts.groupBy("v").agg(F.min("node").alias("hub"))
+        bundles = components(posts.join(hubs, "v").select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "bundle")
+        sizes = bundles.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / self.chunk).cast("int").alias("chunks"))
+        dealt = bundles.join(sizes, "bundle").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        tasks = dealt.select("bundle", "node", "part", other).select("bundle", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        blocks = tasks.join(full, "node")
+        found = blocks.groupBy("bundle", "i", "j").applyInArrow(lambda t: block_links(t, k, num, den, margin), "a long, b long")
+        return keep(found)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k: int = 64, share: float = 0.55, margin: float = 0.22, chunk: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    f = Finder(docs, shingle, num, den, k, share, margin)
+    f = Finder(docs, shingle, num, den, k, share, margin, chunk)
     found = components(f.links())
     named = keep(f.nodes.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -186,5 +215,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 def clean(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """One document of each group, all columns as they were: the one with the smallest id."""
-    gone = keep(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = keep(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(sent(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
