@@ -35,6 +35,13 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The side of a join that goes to all executors if it has at most so many rows; else Spark shuffles both sides.
+
+    For narrow, kept tables (their rows are counted first)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import keep, sent, ship
 from .textbytes import WordHasher, runs
 
 #: Texts of a shard.
@@ -210,4 +210,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
     The ids of hit documents are few beside the texts; they are written to the shared folder, and Spark
     picks the anti-join by their size."""
     hit = keep(overlaps(docs, benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    return docs.join(sent(hit), docs["doc_id"] == F.col("_hit"), "left_anti")

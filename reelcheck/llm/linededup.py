@@ -27,8 +27,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, sent
 
+#: Up to so many documents' deleted line numbers go to all executors instead of the texts around.
+BROADCAST_DOCS = 300_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,7 +95,7 @@ def deduplicated(docs: DataFrame, min_words: int = 50, count: str = "n_deleted")
     """docs with the later copies of repeated runs deleted from the text, and one more column: how many lines were."""
     gone = later_copies(docs, min_words).groupBy("doc_id", "key").agg(F.collect_list("line").alias("_lines"))
     gone = keep(gone.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_lines"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
+    rows = docs.join(sent(gone, BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda t, i: ~F.array_contains("_lines", i))
     changed = rows.withColumns({count: F.coalesce(F.size("_lines"), F.lit(0)), "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))})
     return changed.select(*[c for c in docs.columns if c != count], count)
