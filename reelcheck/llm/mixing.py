@@ -41,9 +41,10 @@ def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) ->
     t = sizes.withColumn("weight", weight)
     t = t.withColumn("most", F.col("source_size") * F.lit(float(cap)))
     t = t.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share))).withColumn("all_weight", F.sum("weight").over(every))
+    # where all sources before are at their most, the first that is not sets the level; it is the largest of its kind
     before = Window.orderBy(F.col("most") / F.col("weight"), "skey").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    t = t.withColumn("level", F.min(F.when(F.col("most") / F.col("weight") > F.col("level"), F.col("level"))).over(every))
+    t = t.withColumn("level", F.max(F.when(F.col("most") / F.col("weight") > F.col("level"), F.col("level"))).over(every))
     t = t.withColumn("target", F.coalesce(F.least(F.col("most"), F.col("level") * F.col("weight")), F.col("most")))
     return t.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).select("skey", "source_size", "target", "rate")
 
@@ -92,7 +93,7 @@ s2 AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(weight) OV
          coalesce(sum(most) OVER w, 0) AS cm, coalesce(sum(weight) OVER w, 0) AS cw
        FROM s1 WINDOW w AS (ORDER BY most / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, (total - cm) / (all_weight - cw) AS lv FROM s2),
-s4 AS (SELECT *, min(CASE WHEN most / weight > lv THEN lv END) OVER () AS level FROM s3),
+s4 AS (SELECT *, max(CASE WHEN most / weight > lv THEN lv END) OVER () AS level FROM s3),
 s5 AS (SELECT skey, source_size, coalesce(least(most, level * weight), most) AS target FROM s4),
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM s5),
 r AS (SELECT b.*, s6.source_size, s6.target, s6.rate,
