@@ -63,7 +63,15 @@ def crc_rest(col: str | Column, by: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(by)).cast("int")
 
 
+#: Rows of an Arrow batch: texts can be long, so batches are smaller than Spark's default.
+BATCH_ROWS = 1000
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(*names: str) -> None:
-    """Sends the named modules' functions to the executors by value, so that they need no path."""
+    """Sends the named modules' functions to the executors by value, so that they need no path, and keeps Arrow batches small."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and int(spark.conf.get(BATCH_KEY, "10000")) in (0, 10_000):  # not set by the user
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     for name in names:
         cloudpickle.register_pickle_by_value(sys.modules[name])

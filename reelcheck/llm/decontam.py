@@ -29,7 +29,7 @@ from .common import keep, sent, ship
 from .textbytes import WordHasher, runs
 
 #: Texts of a shard.
-SHARD_ROWS = 2048
+SHARD_ROWS = 256
 SCHEMA = "doc_id long, n_words long, item_ids array<string>, starts array<int>, ends array<int>"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 

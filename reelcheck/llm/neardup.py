@@ -34,7 +34,7 @@ from .graph import components
 from .textbytes import MULTIPLIER, WordHasher, mixed, runs
 
 #: Texts that are hashed at once.
-ROWS = 1024
+ROWS = 256
 
 
 def shingles(h: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:

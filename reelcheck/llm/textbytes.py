@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once.
-PIECE = 1 << 21
+PIECE = 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
