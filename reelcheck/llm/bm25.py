@@ -173,7 +173,7 @@ def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float
     yield pa.RecordBatch.from_arrays([pa.array(q.ids[r]), pa.array(hit, mask=hit == LAST), pa.array(best.score[r, c])], names=["query_id", "doc_id", "score"])
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 16_384, frequent: int = 512) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 8_192, frequent: int = 512) -> DataFrame:
     """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score."""
     ship(__name__, WordHasher.__module__)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,8 +186,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     for block in range(n_blocks if stats else 0):
         rows = own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
         words = rows.select(F.explode("words").alias("word")).distinct()
-        df = counted.join(words, "word").select("word", "df").toPandas()
-        part = prepared(rows.toPandas(), df["word"].to_numpy(np.int64), df["df"].to_numpy(np.float64), stats.df, stats.total / max(1, stats.df), frequent)
+        df = counted.join(words, "word").select("word", "df").toArrow()
+        part = prepared(rows.select("id", "words").toArrow(), df, stats.df, stats.total / max(1, stats.df), frequent)
         hits = texts.mapInArrow(lambda it, q=part: search_rows(it, q, k, k1, b), "query_id long, doc_id long, score double")
         found = hits if found is None else found.unionAll(hits)
     if found is None:
@@ -196,18 +196,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def prepared(rows, word: np.ndarray, df: np.ndarray, n: int, mean_length: float, frequent: int) -> Queries:  # noqa: ANN001
-    """The block of queries as the tasks need it."""
-    ids, place = np.unique(rows["id"].to_numpy(np.int64), return_inverse=True)
-    h = word.view(np.uint64)
+def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float, frequent: int) -> Queries:
+    """The block of queries (id, words) as the tasks need it, with the document frequencies of its words (word, df)."""
+    ids, place = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+    h, count = df.column("word").to_numpy().view(np.uint64), df.column("df").to_numpy().astype(np.float64)
     order = np.argsort(h)
-    h, df = h[order], df[order]
-    sizes = [len(w) for w in rows["words"]]
-    own = np.concatenate([np.asarray(w, np.int64) for w in rows["words"]] or [np.zeros(0, np.int64)]).view(np.uint64)
-    pairs = np.unique(np.searchsorted(h, own) * np.int64(max(1, len(ids))) + np.repeat(place, sizes))
-    t, of_word = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-    starts = np.searchsorted(t, np.arange(len(h) + 1))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    work = np.diff(starts) * df
+    h, count = h[order], count[order]
+    words = rows.column("words").combine_chunks()
+    sizes, own = np.diff(words.offsets.to_numpy()), words.values.to_numpy().view(np.uint64)
+    at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
+    there = h[at] == own if len(h) else np.zeros(len(own), bool)  # words that no document has can't add to a score
+    pairs = np.unique(at[there] * np.int64(max(1, len(ids))) + np.repeat(place, sizes)[there])
+    starts = np.searchsorted(pairs, np.arange(len(h) + 1) * np.int64(max(1, len(ids))))
+    pairs %= max(1, len(ids))
+    idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
+    work = np.diff(starts) * count
     most = np.sort(np.argsort(-work, kind="stable")[:frequent])
-    return Queries(ids, h, idf, starts, of_word.astype(np.int32), most[work[most] > 0], max(mean_length, 1e-9))
+    return Queries(ids, h, idf, starts, pairs.astype(np.int32), most[work[most] > 0], max(mean_length, 1e-9))
