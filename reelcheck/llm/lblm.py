@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,10 +184,11 @@ def train_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model, ra
     for _, h, lead, offsets in tokens(batches, 0):
         target, before, before2, _ = sequence(h, lead, offsets, words, short, order)
         mix = t.rng.permutation(len(target))
-        for i in range(0, max(1, int(len(mix) * share)), batch_tokens):
-            j = mix[i : i + batch_tokens]
+        i, stop = 0, max(1, int(len(mix) * share))
+        while i < stop:
+            j = mix[i : i + (batch_tokens if done > 64 * 1024 else 1024)]  # small steps at first
             t.step(before[j], before2[j], target[j])
-            done += len(j)
+            i, done = i + len(j), done + len(j)
     if done:
         for k, a in enumerate(t.m.arrays()):
             values = a.astype(np.float64) * done
@@ -219,6 +221,20 @@ def score_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model) ->
         yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(log_counts), pa.array(log_model), lists], names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_model", "rare"])
 
 
+def most_frequent(counts: DataFrame, known: int) -> pd.DataFrame:
+    """The words from a count upwards, as many counts as give no more than ``known`` words; most frequent first.
+
+    The count is found in the table of counts of counts, so no more than these words come to the driver."""
+    total, least = 0, None
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > known:
+            break
+        least = r.n
+    rows = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+    return rows.toPandas().sort_values(["n", "word"], ascending=[False, True])
+
+
 def scores(docs: DataFrame, held_out: Column, classes: int = 512, buckets: int = 256, known: int = 300_000, dim: int = 16, rounds: tuple[tuple[float, float], ...] = ((0.1, 0.05), (0.05, 1.0))) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of the whole texts.
 
@@ -229,7 +245,7 @@ def scores(docs: DataFrame, held_out: Column, classes: int = 512, buckets: int =
     partial = train.mapInArrow(lambda it: count_rows(it, buckets), "word long, bucket int, n long, texts long")
     counts = keep(partial.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")))
     n_texts = train.count()
-    frequent = counts.orderBy(F.desc("n"), "word").limit(known).toPandas()  # bounded by `known`
+    frequent = most_frequent(counts, known)
     short = frequent.head(classes - 1)
     least = short.tail(1)
     in_short = (F.col("n") > int(least["n"].iloc[0])) | ((F.col("n") == int(least["n"].iloc[0])) & (F.col("word") <= int(least["word"].iloc[0]))) if len(least) else F.lit(False)
