@@ -188,17 +188,18 @@ def loudness(x: np.ndarray, rate: int, hop: int | None = None) -> float | None:
 
 
 def kernel(taps: int = 12, phases: int = 4, beta: float = 8.6) -> np.ndarray:
-    """Polyphase interpolation: a windowed sinc, each phase with unit gain."""
-    n = taps * phases
-    t = (np.arange(n) - (n - 1) / 2) / phases
-    h = (np.sinc(t) * np.kaiser(n, beta)).reshape(taps, phases).T
+    """Fractional delays by windowed sincs, a row for each quarter of a sample, each with unit gain."""
+    late = np.arange(phases)[:, None] / phases + (taps - 1) / 2
+    h = np.sinc(late - np.arange(taps)) * np.kaiser(taps, beta)
     return h / h.sum(1, keepdims=True)
 
 
 def peak_between(x: np.ndarray) -> float:
-    """The largest magnitude of the four times oversampled signal, in dB."""
-    x = np.concatenate([x, np.zeros(1)])
-    top = max(float(np.abs(np.convolve(x, h)).max()) for h in kernel()) if len(x) > 1 else 0.0
+    """The largest magnitude of the four times oversampled signal, in dB; one sample of silence follows the last."""
+    if not len(x):
+        return -300.0
+    x = np.append(x, 0.0)
+    top = max(float(np.abs(np.convolve(x, h)[: len(x)]).max()) for h in kernel())
     return 20 * np.log10(top) if top > 0 else -300.0
 
 
