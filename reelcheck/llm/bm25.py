@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import keep, ship
 from .textbytes import Lookup, WordHasher, runs
 
-#: Documents of a shard and of a block.
-SHARD, BLOCK = 512, 32
+#: Documents of a shard and of a block; queries whose scores are worked on at once (they fit in a core's cache).
+SHARD, BLOCK, CHUNK = 512, 32, 512
 #: Scores are compared and returned to this precision.
 DIGITS = 9
 LAST = np.iinfo(np.int64).max
@@ -44,8 +44,7 @@ class Queries:
     ids: np.ndarray
     words: np.ndarray  # sorted hashes (unsigned) of all words of the queries
     idf: np.ndarray
-    starts: np.ndarray  # by word: where its queries begin in `of_word`
-    of_word: np.ndarray
+    chunks: list[tuple[np.ndarray, np.ndarray]]  # of CHUNK queries each: by word where its queries begin, and these (from 0)
     frequent: np.ndarray  # places of the words that have dense rows
     mean_length: float
 
@@ -120,17 +119,17 @@ class Best:
         self.floor[first + rows] = np.maximum(self.floor[first + rows], np.where(np.isfinite(worst), worst - 10.0**-DIGITS, 0.0))
 
 
-def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float, b: float, chunk: int = 1024) -> Iterator[pa.RecordBatch]:
+def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> the k best hits of every query among the documents of this task."""
     hasher, known = WordHasher("alnum"), Lookup(q.words)
     n_q, n_f = len(q.ids), len(q.frequent)
     dense_of = np.full(len(q.words), -1, np.int64)
     dense_of[q.frequent] = np.arange(n_f)
-    dense_q = np.zeros((n_q, n_f), np.float64)
-    for f, t in enumerate(q.frequent):
-        dense_q[q.of_word[q.starts[t] : q.starts[t + 1]], f] = 1.0
-    best = Best(n_q, k)
-    partial = np.zeros((n_q, SHARD))
+    dense_q = np.zeros((n_q, n_f))
+    for c, (starts, of_word) in enumerate(q.chunks):
+        for f, t in enumerate(q.frequent):
+            dense_q[c * CHUNK + of_word[starts[t] : starts[t + 1]], f] = 1.0
+    best, partial = Best(n_q, k), np.zeros((CHUNK, SHARD))
     with np.errstate(over="ignore"):
         for batch in batches:
             for lo in range(0, batch.num_rows, SHARD):
@@ -143,23 +142,16 @@ def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float
                 f = dense_of[t]
                 dense_d = np.zeros((n_f, SHARD))
                 dense_d[f[f >= 0], d[f >= 0]] = impact[f >= 0]
-                partial[:] = 0.0
+                maxima = np.ascontiguousarray(dense_d.reshape(n_f, SHARD // BLOCK, BLOCK).max(2))
                 rare = np.flatnonzero(f < 0)
-                n_of = q.starts[t[rare] + 1] - q.starts[t[rare]]
-                ends = np.cumsum(n_of)
-                at = 0
-                while at < len(rare):  # essential lists, some million pairs at a time
-                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
-                    own, n = rare[at:to], n_of[at:to]
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    which = q.of_word[np.repeat(q.starts[t[own]], n) + step]
-                    np.add.at(partial.reshape(-1), which * SHARD + np.repeat(d[own], n), np.repeat(impact[own], n))
-                    at = to
-                maxima = dense_d.reshape(n_f, SHARD // BLOCK, BLOCK).max(2)
-                for i in range(0, n_q, chunk):
-                    s, dq = partial[i : i + chunk], dense_q[i : i + chunk]
+                rare_d, rare_t, rare_impact = d[rare], t[rare], impact[rare]
+                for c, (starts, of_word) in enumerate(q.chunks):
+                    dq = dense_q[c * CHUNK : (c + 1) * CHUNK]
+                    s = partial[: len(dq)]
+                    s[:] = 0.0
+                    add_essential(s, rare_d, rare_impact, starts[rare_t], starts[rare_t + 1], of_word)
                     bound = s.reshape(len(s), SHARD // BLOCK, BLOCK).max(2) + dq @ maxima
-                    open_ = bound >= best.floor[i : i + chunk, None]
+                    open_ = bound >= best.floor[c * CHUNK : c * CHUNK + len(s), None]
                     if open_.mean() > 0.5:
                         s += dq @ dense_d
                     else:
@@ -167,12 +159,25 @@ def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float
                             who = np.flatnonzero(open_[:, j])
                             s[who, j * BLOCK : (j + 1) * BLOCK] += dq[who] @ dense_d[:, j * BLOCK : (j + 1) * BLOCK]
                         s.reshape(len(s), SHARD // BLOCK, BLOCK)[~open_] = 0.0
-                    best.add(i, s[:, : part.num_rows], ids)
+                    best.add(c * CHUNK, s[:, : part.num_rows], ids)
     r, c = np.nonzero(np.isfinite(best.score))
     hit = best.id[r, c]
     yield pa.RecordBatch.from_arrays([pa.array(q.ids[r]), pa.array(hit, mask=hit == LAST), pa.array(best.score[r, c])], names=["query_id", "doc_id", "score"])
 
 
+def add_essential(scores: np.ndarray, d: np.ndarray, impact: np.ndarray, first: np.ndarray, last: np.ndarray, of_word: np.ndarray) -> None:
+    """Adds the impact of each posting to all queries that have its word, some million pairs at a time."""
+    some = np.flatnonzero(last > first)
+    n, d, impact, first = (last - first)[some], d[some], impact[some], first[some]
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        m = n[at:to]
+        step = np.arange(m.sum()) + np.repeat(first[at:to] - np.cumsum(m) + m, m)
+        np.add.at(scores.reshape(-1), of_word[step] * SHARD + np.repeat(d[at:to], m), np.repeat(impact[at:to], m))
+        at = to
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 8_192, frequent: int = 512) -> DataFrame:
     """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score."""
     ship(__name__, WordHasher.__module__)
@@ -207,9 +212,12 @@ def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float, frequent:
     at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
     there = h[at] == own if len(h) else np.zeros(len(own), bool)  # words that no document has can't add to a score
     pairs = np.unique(at[there] * np.int64(max(1, len(ids))) + np.repeat(place, sizes)[there])
-    starts = np.searchsorted(pairs, np.arange(len(h) + 1) * np.int64(max(1, len(ids))))
-    pairs %= max(1, len(ids))
+    t, who = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+    chunks = []
+    for first in range(0, len(ids), CHUNK):
+        own = (who >= first) & (who < first + CHUNK)
+        chunks.append((np.searchsorted(t[own], np.arange(len(h) + 1)).astype(np.int32), (who[own] - first).astype(np.int64)))
     idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
-    work = np.diff(starts) * count
+    work = np.bincount(t, minlength=len(h)) * count
     most = np.sort(np.argsort(-work, kind="stable")[:frequent])
-    return Queries(ids, h, idf, starts, pairs.astype(np.int32), most[work[most] > 0], max(mean_length, 1e-9))
+    return Queries(ids, h, idf, chunks, most[work[most] > 0], max(mean_length, 1e-9))
