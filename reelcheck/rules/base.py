@@ -1,7 +1,6 @@
 """Building blocks of rules: SQL texts that give arrays of findings.
 
-A rule is one expression over the columns ``asset``, ``inspection`` and those of ``CONTEXT``: an empty array is a
-pass.  Values of the profile get in as literals only.  Nothing here is a join or a shuffle.
+A rule is one expression over the columns of ``CONTEXT``: an empty array is a pass.  Values of the profile get in as literals only.  Nothing here is a join or a shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +10,9 @@ from ..schema import FINDINGS, RANGE
 NONE = f"cast(array() AS {FINDINGS})"
 #: Columns that rules share, in order of their definition.
 CONTEXT = {
+    "container": "inspection.container",
+    "asset_duration": "asset.duration",
+    "asset_size": "asset.size_bytes",
     "streams": "CASE WHEN size(inspection.streams) > 0 THEN inspection.streams ELSE coalesce(asset.streams, array()) END",
     "scanned": "coalesce(inspection.container.validity, 'not_scanned') <> 'not_scanned'",
     "pv": "get(filter(streams, s -> s.kind = 'video'), 0)",

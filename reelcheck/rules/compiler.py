@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,12 +22,16 @@ def compile_rules(profile: Profile) -> list[tuple[str, str]]:
     return out + [(c["id"], custom.build(c)) for c in profile.custom]
 
 
-def with_context(inspections: DataFrame) -> DataFrame:
-    """Streams, primary streams and their measurements, worked out once for all rules."""
-    rows = inspections
+def with_context(inspections: DataFrame, key: str, used: str) -> DataFrame:
+    """The columns of the context that some rules' SQL uses, worked out once for all of them.
+
+    They go through a generator of one row: the optimizer then can't copy their expressions (or those that made the
+    inspections) into every place where a rule uses them. What no rule uses isn't read."""
+    rows = inspections.select(key, "asset", "inspection")
     for name, sql in CONTEXT.items():
         rows = rows.withColumn(name, F.expr(sql))
-    return rows
+    names = [n for n in CONTEXT if re.search(rf"\b{n}\b", used)] or ["scanned"]
+    return rows.select(key, F.inline(F.array(F.struct(*names))))
 
 
 def findings(inspections: DataFrame, profile: Profile, key: str = "asset_id") -> DataFrame:
@@ -34,7 +39,7 @@ def findings(inspections: DataFrame, profile: Profile, key: str = "asset_id") ->
 
     Rules are laid out in one column per group, so that no generated method gets too large."""
     rules = compile_rules(profile)
-    rows, groups = with_context(inspections), {}
+    rows, groups = with_context(inspections, key, " ".join(sql for _, sql in rules)), {}
     for i, (rule_id, sql) in enumerate(rules):
         groups.setdefault(rule_id.split(".")[0], []).append(f"named_struct('rule_ord', {i}, 'found', {sql})")
     names = []
@@ -43,7 +48,8 @@ def findings(inspections: DataFrame, profile: Profile, key: str = "asset_id") ->
         names.append(f"found_{group}")
     if not names:
         return rows.select(key).limit(0).selectExpr(key, "0 AS rule_ord", "0 AS finding_ord", *empty_fields())
-    every = rows.select(key, F.explode(F.concat(*names) if len(names) > 1 else F.col(names[0])).alias("r"))
+    # one entry per rule, so never empty: explode_outer, or else a filter works all rules out a second time
+    every = rows.select(key, F.explode_outer(F.concat(*names) if len(names) > 1 else F.col(names[0])).alias("r"))
     return every.select(key, F.col("r.rule_ord").alias("rule_ord"), F.posexplode("r.found").alias("finding_ord", "f")).select(key, "rule_ord", "finding_ord", "f.*")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.scalars import rational_text
 from .base import NONE, Rule, cases, each, length, one, several, text
 
-C = "inspection.container"
+C = "container"
 KIND = f"regexp_extract(coalesce({C}.validity, 'not_scanned'), '(not_scanned|unreadable|corrupt|ok)', 1)"
 REASON = f"regexp_extract({C}.validity, ':\\\\s*\"(.*)\"', 1)"
 

@@ -8,7 +8,7 @@ from .base import Rule, cases, one, text
 #: Aliases of comparison operators.
 OPERATORS = {"=": "==", "eq": "==", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">=", "one_of": "in", "none_of": "not_in"} | {o: o for o in ("==", "!=", "<", "<=", ">", ">=", "in", "not_in")}
 count = lambda kind: f"size(filter(streams, s -> s.kind = '{kind}'))"
-CONTAINER = {"duration_seconds": "asset.duration", "size_bytes": "asset.size_bytes", "stream_count": "size(streams)"} | {f"{k}_stream_count": count(k) for k in ("video", "audio", "subtitle")}
+CONTAINER = {"duration_seconds": "asset_duration", "size_bytes": "asset_size", "stream_count": "size(streams)"} | {f"{k}_stream_count": count(k) for k in ("video", "audio", "subtitle")}
 NUMBERS = {"width": "s.width", "height": "s.height", "frame_rate": rational_value("s.frame_rate"), "bitrate": "s.bitrate", "duration_seconds": "s.duration", "channels": "s.channels", "sample_rate": "s.sample_rate", "bit_depth": "s.bit_depth"}
 TEXTS = {"codec": "s.codec", "codec_profile": "s.codec_profile", "pixel_format": "s.pixel_format", "field_order": "s.field_order", "language": "s.language", "channel_layout": "s.channel_layout"}
 LEAST_TOLERANCE = 1e-9

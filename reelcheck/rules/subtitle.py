@@ -58,7 +58,7 @@ def content(c: dict) -> str:
     return cases((f"NOT exists(subs, x -> {decoded})", one(r.unknown("'cue text was not decoded'"))), otherwise=found)
 
 
-VIDEO_MS = "coalesce(pv.duration * 1000, inspection.container.duration)"
+VIDEO_MS = "coalesce(pv.duration * 1000, container.duration)"
 
 
 def duration_match(c: dict) -> str:
