@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import Rule, cases, each, length, one, several, text
+from .base import Rule, cases, each, length, one, text
 
 UNMEASURED = "'audio was not measured'"
 ERRORS = ("am.decode_errors > 0", "'decode had errors, so the result may be incomplete'")
@@ -66,4 +66,3 @@ def dc_offset(c: dict) -> str:
 
 
 BUILDERS = {"sample_rate": lambda c: reported("audio.sample_rate", "sample_rate", c), "bit_depth": lambda c: reported("audio.bit_depth", "bit_depth", c), "channel_layout": channel_layout, "silence": silence, "clipping": clipping, "peak": peak, "true_peak": true_peak, "loudness": loudness, "phase": phase, "dc_offset": dc_offset}
-__all__ = ["BUILDERS", "several"]
