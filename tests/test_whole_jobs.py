@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from reelcheck.plans import fold_queries
+from reelcheck.plans import fold_queries, measure_queries
 from reelcheck.plans import rule_queries as r
 from reelcheck.rules.compiler import RULE_IDS
 
@@ -48,3 +48,16 @@ def test_folds_have_all_rules(spark, by_rule):
         failed, below, unknown = n["fail"] * at, n["fail"] * (not at), n["inconclusive"] * at
         want[a] = (failed, below, unknown, "fail" if failed else "warn" if below + unknown else "pass")
     assert {x.asset_id: (x.failed, x.below, x.inconclusive, x.verdict) for x in got("verdict")} == want
+
+
+def test_unexpected_words_keeps_pairs_with_long_lists(spark, tmp_path):
+    many = [f"w{i * 7 % 71:02d}" for i in range(71)]
+    turns = [(1, 0, "a b"), (1, 1, " ".join([*many, "w00", "a"])), (1, 2, "a new a new"), (1, 3, None), (2, 0, "x"), (2, 1, " ".join(many[:50]))]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for (c, t, x), (c2, _, y) in zip(turns, turns[1:], strict=False):
+        if c == c2 and y is not None:
+            strange = [w for w in y.split() if w not in x.split()]
+            want[c * 1000 + t] = (len(strange), " ".join(sorted(list(dict.fromkeys(strange))[:50])))
+    got = {r.asset_id: (r.unexpected_total, r.unexpected_words) for r in measure_queries.QUERIES["unexpected_words"](spark, str(tmp_path)).collect()}
+    assert got == want and got[1000][0] == 72 and len(got[1000][1].split()) == 50
