@@ -1,17 +1,26 @@
-"""Exact BM25 top-k search: inverted index shards, block-max WAND for batches of queries, exact merge.
+"""Exact BM25 top-k search: a stored inverted index in shards, block-max WAND for batches of queries, exact merge.
 
 score(q, d) = sum over the distinct words t of q of idf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / mean length)),
 idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)), with N, df and the mean length of all documents, so that scores of all
 shards compare and their local top k merge to the exact one.
 
-A shard is some hundred documents that a task has read.  As in WAND, the posting lists of rare words are essential: they are
-walked through for every query that has the word.  The lists of the most frequent words only add small amounts; for them each
-shard keeps the maximum of every block of documents.  A block is scored in full only for those queries for which the best
-partial score in the block plus the sum of block maxima reaches the k-th best score so far.  All of that is done for all queries of a
-block of queries at once, as matrix products (0/1 query matrix times block maxima, and times the blocks that are left).
+1. The index is built once and written to the shared folder: of each document its words (hashes, in order) and their
+   counts; beside it the document frequencies of some thousand documents each, which Spark sums.
+2. Queries are worked on in blocks of at most ``query_block``, each with a pass over the index; the words, frequencies and lists of
+   a block go out as a broadcast that is removed after its pass, so neither driver nor tasks ever hold two.
+3. Queries with like words are brought together in chunks of some hundred (k-means on their costliest words), and each
+   cluster has its own frequent words: those whose lists are so long that a matrix product is the cheapest way through them.
+4. A task orders the documents it has read by cluster and weight, so that blocks of documents are alike and bounds are tight.
+   Of each shard it turns the postings round to lists by word.  As in WAND, the lists of the other words are essential: they
+   are walked through for every query that has the word.  The frequent words' lists are skipped by block: what they can add to a document is at
+   most the sum of the block maxima of the query's words, and at most the sum of the document's own frequent words.  Only where the essential part plus
+   that bound reaches the k-th best score so far they are read, for all such queries of a chunk at once, in single precision with
+   a margin beyond its rounding; what still reaches the k-th best score is scored in double precision.
+5. The longest documents, one of ``longest`` of all, are searched first, since most of the best hits are among them.  Their k-th
+   best scores are what a hit among the others must reach at least.
+6. The tasks' local top k are merged by one ranking.
 
-Queries go to the tasks in blocks of at most ``query_block`` queries, each in a pass of its own, so that memory is
-bounded.  Document frequencies are pre-aggregated per batch and summed by Spark.
+The clusters, the order of documents and which of them go first don't change any result, whatever they come to.
 
 Defined results: a query without words has no row; documents that share no word with a query are no hits, so a
 query may have fewer than k; ties go to the smaller id, null ids last; a document finds itself; rows of one query
@@ -30,13 +39,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, ship
-from .textbytes import Lookup, WordHasher, runs
+from .textbytes import Lookup, WordHasher, distinct, runs, text_bytes
 
-#: Documents of a shard and of a block; queries whose scores are worked on at once (they fit in a core's cache).
-SHARD, BLOCK, CHUNK = 512, 32, 512
-#: Scores are compared and returned to this precision.
-DIGITS = 9
+#: Documents of a shard and of a block; queries of a chunk (a chunk's scores of a shard fit in a core's cache).
+SHARD, BLOCK, CHUNK = 512, 64, 512
+#: Documents and postings that are ordered at once; postings that are added at once; hits that wait for a merge.
+GROUP_ROWS, GROUP_POSTINGS, PIECE, WAITING = 4096, 4_000_000, 40_000, 60_000
+#: A word is frequent in a cluster if a chunk and a shard share so many pairs of a query and a document with it.
+WORTH = 200
+#: Scores are compared and returned to this precision; single precision is trusted up to this share of a score.
+DIGITS, MARGIN = 9, 2e-4
 LAST = np.iinfo(np.int64).max
+INDEX = "doc_id long, length long, words binary, counts binary, df boolean"
+
+
+@dataclass
+class Chunk:
+    """Up to CHUNK queries of one cluster."""
+
+    first: int  # the place of its first query
+    n: int
+    cluster: int
+    words: np.ndarray  # places of its essential words, in order
+    starts: np.ndarray  # where each word's queries begin in of_word
+    of_word: np.ndarray  # queries (from 0), times SHARD
+    dense: np.ndarray  # query x frequent word of the cluster, 0/1
 
 
 @dataclass
@@ -44,180 +71,415 @@ class Queries:
     ids: np.ndarray
     words: np.ndarray  # sorted hashes (unsigned) of all words of the queries
     idf: np.ndarray
-    chunks: list[tuple[np.ndarray, np.ndarray]]  # of CHUNK queries each: by word where its queries begin, and these (from 0)
-    frequent: np.ndarray  # places of the words that have dense rows
+    chunks: list[Chunk]
+    frequent: list[np.ndarray]  # of each cluster, places of its frequent words
     mean_length: float
+    floor: np.ndarray  # what a hit must reach
 
 
-def postings(h: np.ndarray, rows: np.ndarray, known: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word, count) of the words that are known."""
-    place = known.find(h)
-    kept = place >= 0
-    key, n = np.unique(rows[kept] * np.int64(len(known.keys) + 1) + place[kept], return_counts=True)
-    return key // (len(known.keys) + 1), key % (len(known.keys) + 1), n
+# The index
 
 
-def df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> (word, documents with it) for each batch; word null: documents and words of the batch."""
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Up to SHARD rows at a time, and fewer where they hold more than 64 MB."""
+    _, of = text_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = min(at + SHARD, max(at + 1, int(np.searchsorted(of, of[at] + (64 << 20), "right")) - 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text -> a row for each document, and rows (df true) of the document frequencies of some thousand of them."""
     hasher = WordHasher("alnum")
     with np.errstate(over="ignore"):
+        waiting, n_docs, n_words = [], 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SHARD):
-                part = batch.slice(at, 4 * SHARD)
-                h, rows = hasher.column(part.column(0))
-                order = np.lexsort((rows, h))
-                h, rows = h[order], rows[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-                words, df = np.unique(h[once], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([None, *words.view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([[part.num_rows], df]).astype(np.int64)), pa.array(np.concatenate([[len(h)], np.zeros(len(words))]).astype(np.int64))], names=["word", "df", "total"])
+            for part in slices(batch, 1):
+                h, rows = hasher.column(part.column(1))
+                of = runs(rows, part.num_rows)
+                words, counts, ends = counted(h, of)
+                yield index_batch(part.column(0).cast(pa.int64()), np.diff(of), words, counts, ends, False)
+                waiting.append(words)
+                n_docs, n_words = n_docs + part.num_rows, n_words + len(h)
+                if n_docs >= GROUP_ROWS or sum(map(len, waiting)) >= GROUP_POSTINGS:
+                    yield df_batch(waiting, n_docs, n_words)
+                    waiting, n_docs, n_words = [], 0, 0
+        if n_docs:
+            yield df_batch(waiting, n_docs, n_words)
+
+
+def counted(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each document, in order, how often each is there, and the documents' offsets."""
+    h = h.copy()
+    for a, b in zip(of[:-1], of[1:], strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[of[:-1][of[:-1] < len(h)]] = True
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))).astype(np.int32), np.searchsorted(at, of)
+
+
+def index_batch(ids: pa.Array, length: np.ndarray, words: np.ndarray, counts: np.ndarray, ends: np.ndarray, df: bool) -> pa.RecordBatch:
+    parts = [pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x, size in ((words, 8), (counts, 4))]
+    return pa.RecordBatch.from_arrays([ids, pa.array(length.astype(np.int64)), *parts, pa.array(np.full(len(length), df))], names=["doc_id", "length", "words", "counts", "df"])
+
+
+def df_batch(waiting: list[np.ndarray], n_docs: int, n_words: int) -> pa.RecordBatch:
+    words, df = np.unique(np.concatenate(waiting), return_counts=True)
+    return index_batch(pa.array([n_docs], pa.int64()), np.array([n_words]), words, df.astype(np.int32), np.array([0, len(words)]), True)
+
+
+def df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frequencies as rows (word, df); word null: documents and words."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = batch.slice(i, 1)
+            words, df = (np.frombuffer(text_bytes(part.column(c))[0], kind) for c, kind in ((2, np.int64), (3, np.int32)))
+            n = pa.array([part.column(0)[0].as_py()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), n, part.column(1).cast(pa.int64())], names=["word", "df", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(words), np.int64))], names=["word", "df", "total"])
+
+
+# Queries
 
 
 def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher("alnum")
     with np.errstate(over="ignore"):
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
+            for part in slices(batch, 1):
                 h, rows = hasher.column(part.column(1))
-                of = runs(rows, part.num_rows)
-                words = [np.unique(h[a:b]).view(np.int64) for a, b in zip(of[:-1], of[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([w.tolist() for w in words], pa.list_(pa.int64()))], names=["id", "words"])
+                words, _, ends = counted(h, runs(rows, part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.view(np.int64)))], names=["id", "words"])
+
+
+def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float, frequent: int, clusters: int) -> Queries:
+    """The block of queries (id, words) as the tasks need it, with the document frequencies of its words (word, df)."""
+    ids, place = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+    h, count = df.column("word").to_numpy().view(np.uint64), df.column("df").to_numpy().astype(np.float64)
+    order = np.argsort(h)
+    h, count = h[order], count[order]
+    words = rows.column("words").combine_chunks()
+    sizes, own = np.diff(words.offsets.to_numpy()), words.values.to_numpy().view(np.uint64)
+    at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
+    there = h[at] == own if len(h) else np.zeros(len(own), bool)  # words that no document has can't add to a score
+    pairs = distinct(at[there] * np.int64(max(1, len(ids))) + np.repeat(place, sizes)[there])
+    t, who = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+    idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
+    cluster = alike(t, who, len(ids), idf, np.bincount(t, minlength=len(h)) * count, clusters)
+    n_words = np.bincount(who, minlength=len(ids))
+    order = np.lexsort((np.arange(len(ids)), -n_words, cluster))
+    ids, cluster, rank = ids[order], cluster[order], np.argsort(order)
+    by_query = np.sort(rank[who] * np.int64(len(h) + 1) + t)
+    t, who = by_query % np.int64(len(h) + 1), by_query // np.int64(len(h) + 1)
+    of = runs(who, len(ids))
+    chunks, lists = [], []
+    for a in range(int(cluster.max(initial=-1)) + 1):
+        lo, hi = np.searchsorted(cluster, [a, a + 1])
+        n_chunks = max(1, -(-(hi - lo) // CHUNK))
+        mass = np.bincount(t[of[lo] : of[hi]], minlength=len(h)) / n_chunks * (count * min(1.0, SHARD / max(1, n)))
+        most = np.argsort(-mass, kind="stable")[:frequent]
+        most = np.sort(most[mass[most] >= WORTH])
+        dense_of = np.full(len(h), -1)
+        dense_of[most] = np.arange(len(most))
+        lists.append(most)
+        for first in range(lo, hi, CHUNK):
+            last = min(hi, first + CHUNK)
+            own_t, own_q = t[of[first] : of[last]], who[of[first] : of[last]] - first
+            column = dense_of[own_t]
+            dense = np.zeros((last - first, len(most)), np.float32)
+            dense[own_q[column >= 0], column[column >= 0]] = 1.0
+            rest = column < 0
+            by_word = np.sort(own_t[rest] * np.int64(CHUNK) + own_q[rest])
+            word = by_word // CHUNK
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            chunks.append(Chunk(first, last - first, a, word[starts], np.append(starts, len(word)), by_word % CHUNK * SHARD, dense))
+    return Queries(ids, h, idf, chunks, lists, max(mean_length, 1e-9), np.full(len(ids), 1e-9))
+
+
+def alike(t: np.ndarray, who: np.ndarray, n: int, idf: np.ndarray, work: np.ndarray, clusters: int, features: int = 512, rounds: int = 8) -> np.ndarray:
+    """Clusters of queries with like costly words: spherical k-means from the farthest points on, always the same."""
+    most = np.argsort(-work, kind="stable")[:features]
+    column = np.full(len(work), -1)
+    column[most] = np.arange(len(most))
+    x = np.zeros((n, max(1, len(most))), np.float32)
+    c = column[t]
+    x[who[c >= 0], c[c >= 0]] = idf[t[c >= 0]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    if n <= CHUNK:
+        return np.zeros(n, np.int64)
+    centres = [x[0]]
+    for _ in range(clusters - 1):
+        centres.append(x[np.argmin(np.max(x @ np.stack(centres).T, axis=1))])
+    centre = np.stack(centres)
+    for _ in range(rounds):
+        own = np.argmax(x @ centre.T, axis=1)
+        centre = np.stack([x[own == a].sum(0) if (own == a).any() else centre[a] for a in range(clusters)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return np.unique(np.argmax(x @ centre.T, axis=1), return_inverse=True)[1]
+
+
+# The search
 
 
 class Best:
     """The k best hits of every query so far, and the score that a hit must reach."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.floor = k, np.full(n, 1e-9)
-        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), LAST)
-
-    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: of the queries from ``first`` on (rows) for documents (columns)."""
-        n, k = len(scores), self.k
-        floor = self.floor[first : first + n]
-        reached = scores >= floor[:, None]
-        crowded = np.flatnonzero(reached.sum(1) > k)
-        if len(crowded):
-            kth = np.partition(scores[crowded], -k, axis=1)[:, -k]
-            floor[crowded] = np.maximum(floor[crowded], kth - 10.0**-DIGITS)
-            reached[crowded] = scores[crowded] >= floor[crowded][:, None]
-        r, c = np.nonzero(reached)
-        if not len(r):
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.floor = k, floor.copy()
+        self.score, self.id = np.full((len(floor), k), -np.inf), np.full((len(floor), k), LAST)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
+        self.waiting.append((query, np.round(score, DIGITS), doc))
+        self.n += len(query)
+        if self.n >= WAITING:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.n:
             return
-        rows = np.unique(r)
-        allr = np.concatenate([r, np.repeat(rows, k)])
-        alls = np.concatenate([np.round(scores[r, c], DIGITS), self.score[first + rows].ravel()])
-        alli = np.concatenate([ids[c], self.id[first + rows].ravel()])
-        order = np.lexsort((alli, -alls, allr))
-        allr, alls, alli = allr[order], alls[order], alli[order]
-        at = np.arange(len(allr)) - np.searchsorted(allr, allr)
+        q, s, d = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n, k = [], 0, self.k
+        rows = distinct(q)
+        q, s, d = np.concatenate([q, np.repeat(rows, k)]), np.concatenate([s, self.score[rows].ravel()]), np.concatenate([d, self.id[rows].ravel()])
+        order = np.lexsort((d, -s, q))
+        q, s, d = q[order], s[order], d[order]
+        at = np.arange(len(q)) - np.searchsorted(q, q)
         top = at < k
-        self.score[first + allr[top], at[top]] = alls[top]
-        self.id[first + allr[top], at[top]] = alli[top]
-        worst = self.score[first + rows, k - 1]
-        self.floor[first + rows] = np.maximum(self.floor[first + rows], np.where(np.isfinite(worst), worst - 10.0**-DIGITS, 0.0))
+        self.score[q[top], at[top]] = s[top]
+        self.id[q[top], at[top]] = d[top]
+        worst = self.score[rows, k - 1]
+        self.floor[rows] = np.maximum(self.floor[rows], np.where(np.isfinite(worst), worst - 10.0**-DIGITS, 0.0))
+
+
+class Shard:
+    """Postings of some documents, turned round: lists by word, and the frequent words' impacts as matrices."""
+
+    def __init__(self, ids: np.ndarray, d: np.ndarray, t: np.ndarray, impact: np.ndarray):
+        order = np.argsort(t * np.int64(SHARD) + d)
+        self.ids, self.d, self.impact, t = ids, d[order], impact[order], t[order]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        self.words, self.starts, self.of_posting = t[starts], np.append(starts, len(t)), t
+        self.top = np.maximum.reduceat(self.impact, starts) if len(t) else self.impact
+        self.dense: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.double: dict[int, np.ndarray] = {}
+
+    def matrix(self, cluster: int, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Impacts (frequent word x document), their maxima in blocks, their sums by document."""
+        if cluster not in self.dense:
+            f = column[self.of_posting]
+            own = f >= 0
+            impacts = np.zeros((n, SHARD), np.float32)
+            impacts[f[own], self.d[own]] = self.impact[own]
+            self.dense[cluster] = impacts, np.ascontiguousarray(impacts.reshape(n, SHARD // BLOCK, BLOCK).max(2)), (np.bincount(self.d[own], self.impact[own], SHARD) * (1 + MARGIN / 2)).astype(np.float32).reshape(SHARD // BLOCK, BLOCK)
+        return self.dense[cluster]
+
+    def exact(self, cluster: int, column: np.ndarray, n: int) -> np.ndarray:
+        """Impacts (document x frequent word) in double precision."""
+        if cluster not in self.double:
+            f = column[self.of_posting]
+            own = f >= 0
+            self.double[cluster] = np.zeros((SHARD, n))
+            self.double[cluster][self.d[own], f[own]] = self.impact[own]
+        return self.double[cluster]
+
+
+def add_essential(scores: np.ndarray, chunk: Chunk, shard: Shard, place: np.ndarray, least: np.ndarray) -> bool:
+    """Adds the impacts of the essential words that a chunk and a shard share (place: of a word in the shard, or -1).
+
+    Only for the queries whose words' highest impacts in the shard come to ``least``; false if there are none."""
+    j = place[chunk.words]
+    shared = np.flatnonzero(j >= 0)
+    j = j[shared]
+    n = chunk.starts[shared + 1] - chunk.starts[shared]
+    at = np.repeat(chunk.starts[shared] - np.cumsum(n) + n, n)
+    at += np.arange(len(at))
+    row, j = chunk.of_word[at], np.repeat(j, n)
+    alive = np.bincount(row // SHARD, shard.top[j], chunk.n) >= least
+    if not alive.any():
+        return False
+    if not alive.all():
+        some = np.flatnonzero(alive[row // SHARD])
+        row, j = row[some], j[some]
+    scores[:] = 0.0
+    first, n = shard.starts[j], shard.starts[j + 1] - shard.starts[j]
+    ends, at, flat = np.cumsum(n), 0, scores.reshape(-1)
+    first -= ends - n
+    while at < len(n):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        m = n[at:to]
+        posting = np.repeat(first[at:to], m)
+        posting += np.arange(done, int(ends[to - 1]))
+        cell = shard.d[posting]
+        cell += np.repeat(row[at:to], m)
+        np.add.at(flat, cell, shard.impact[posting])
+        at = to
+    return True
+
+
+def search_shard(shard: Shard, q: Queries, chunk: Chunk, best: Best, s: np.ndarray, place: np.ndarray, column: np.ndarray) -> None:
+    s = s[: chunk.n]
+    floor, n_f = best.floor[chunk.first : chunk.first + chunk.n], chunk.dense.shape[1]
+    impacts, maxima, sums = shard.matrix(chunk.cluster, column, n_f)
+    bound = chunk.dense @ maxima
+    if not add_essential(s, chunk, shard, place, floor * (1 - MARGIN) - bound.max(1)):
+        return
+    most = s.astype(np.float32).reshape(chunk.n, SHARD // BLOCK, BLOCK)
+    most += np.minimum(bound[:, :, None], sums)
+    in_block = most.max(2) >= (floor * (1 - MARGIN))[:, None]
+    found_q, found_d = [], []
+    for j in np.flatnonzero(in_block.any(0)):
+        who, cols = np.flatnonzero(in_block[:, j]), slice(j * BLOCK, (j + 1) * BLOCK)
+        if 4 * len(who) > 3 * chunk.n:  # nearly all: no copy of their rows
+            who, some = np.arange(chunk.n), chunk.dense @ impacts[:, cols]
+            some += s[:, cols]
+        else:
+            some = chunk.dense[who] @ impacts[:, cols]
+            some += s[who, cols]
+        top = some.max(1)
+        hit = np.flatnonzero(top >= floor[who] * (1 - MARGIN))
+        if not len(hit):
+            continue
+        who, some = who[hit], some[hit]
+        reached = some >= (floor[who] * (1 - MARGIN))[:, None]
+        crowded = np.flatnonzero(reached.sum(1) > best.k)
+        if len(crowded):  # so many reach at least the k-th of them
+            kth = np.partition(some[crowded], -best.k, axis=1)[:, -best.k] * (1 - MARGIN)
+            best.floor[chunk.first + who[crowded]] = np.maximum(floor[who[crowded]], kth - 10.0**-DIGITS)
+            reached[crowded] = some[crowded] >= (floor[who[crowded]] * (1 - MARGIN))[:, None]
+        r, c = np.nonzero(reached)
+        found_q.append(who[r])
+        found_d.append(c + j * BLOCK)
+    if not found_q:
+        return
+    r, c = np.concatenate(found_q), np.concatenate(found_d)
+    real = c < len(shard.ids)
+    r, c = r[real], c[real]
+    score = s[r, c]
+    if n_f:
+        exact = shard.exact(chunk.cluster, column, n_f)
+        for a in range(0, len(r), SHARD // 2):
+            own = slice(a, a + SHARD // 2)
+            score[own] += np.einsum("ij,ij->i", chunk.dense[r[own]], exact[c[own]])
+    kept = (score >= floor[r]) & (score > 0)
+    if kept.any():
+        best.add(chunk.first + r[kept], score[kept], shard.ids[c[kept]])
+
+
+def groups(batches: Iterator[pa.RecordBatch], known: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and lengths of some thousand documents, and their postings (document, word, count) of known words."""
+    parts, n, m = [], 0, 0
+
+    def whole():
+        ids, length, d, t, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return ids, length, d, t, tf
+
+    for batch in batches:
+        for part in slices(batch, 2):
+            ids = part.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+            length = part.column(1).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            raw, of = text_bytes(part.column(2))
+            words = raw[of[0] : of[-1]].view(np.uint64) if of[-1] > of[0] else np.zeros(0, np.uint64)
+            raw, own = text_bytes(part.column(3))
+            tf = raw[own[0] : own[-1]].view(np.int32) if own[-1] > own[0] else np.zeros(0, np.int32)
+            d = np.repeat(np.arange(part.num_rows), np.diff(of) // 8)
+            t = known.find(words)
+            kept = t >= 0
+            parts.append((ids, length, d[kept] + n, t[kept], tf[kept]))
+            n, m = n + part.num_rows, m + int(kept.sum())
+            if n >= GROUP_ROWS or m >= GROUP_POSTINGS:
+                yield whole()
+                parts, n, m = [], 0, 0
+    if parts:
+        yield whole()
 
 
 def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> the k best hits of every query among the documents of this task."""
-    hasher, known = WordHasher("alnum"), Lookup(q.words)
-    n_q, n_f = len(q.ids), len(q.frequent)
-    dense_of = np.full(len(q.words), -1, np.int64)
-    dense_of[q.frequent] = np.arange(n_f)
-    dense_q = np.zeros((n_q, n_f))
-    for c, (starts, of_word) in enumerate(q.chunks):
-        for f, t in enumerate(q.frequent):
-            dense_q[c * CHUNK + of_word[starts[t] : starts[t + 1]], f] = 1.0
-    best, partial = Best(n_q, k), np.zeros((CHUNK, SHARD))
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD):
-                part = batch.slice(lo, SHARD)
-                ids = part.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
-                h, rows = hasher.column(part.column(1))
-                length = np.diff(runs(rows, part.num_rows))
-                d, t, tf = postings(h, rows, known)
-                impact = q.idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / q.mean_length))
-                f = dense_of[t]
-                dense_d = np.zeros((n_f, SHARD))
-                dense_d[f[f >= 0], d[f >= 0]] = impact[f >= 0]
-                maxima = np.ascontiguousarray(dense_d.reshape(n_f, SHARD // BLOCK, BLOCK).max(2))
-                rare = np.flatnonzero(f < 0)
-                rare_d, rare_t, rare_impact = d[rare], t[rare], impact[rare]
-                for c, (starts, of_word) in enumerate(q.chunks):
-                    dq = dense_q[c * CHUNK : (c + 1) * CHUNK]
-                    s = partial[: len(dq)]
-                    s[:] = 0.0
-                    add_essential(s, rare_d, rare_impact, starts[rare_t], starts[rare_t + 1], of_word)
-                    bound = s.reshape(len(s), SHARD // BLOCK, BLOCK).max(2) + dq @ maxima
-                    open_ = bound >= best.floor[c * CHUNK : c * CHUNK + len(s), None]
-                    if open_.mean() > 0.5:
-                        s += dq @ dense_d
-                    else:
-                        for j in np.flatnonzero(open_.any(0)):
-                            who = np.flatnonzero(open_[:, j])
-                            s[who, j * BLOCK : (j + 1) * BLOCK] += dq[who] @ dense_d[:, j * BLOCK : (j + 1) * BLOCK]
-                        s.reshape(len(s), SHARD // BLOCK, BLOCK)[~open_] = 0.0
-                    best.add(c * CHUNK, s[:, : part.num_rows], ids)
+    """Documents of the index -> the k best hits of every query among those of this task."""
+    known, best = Lookup(q.words), Best(q.floor, k)
+    columns = []
+    for most in q.frequent:
+        columns.append(np.full(len(q.words), -1, np.int32))
+        columns[-1][most] = np.arange(len(most))
+    s, place = np.zeros((CHUNK, SHARD)), np.full(len(q.words), -1, np.int32)
+    for ids, length, d, t, tf in groups(batches, known):
+        impact = q.idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / q.mean_length))
+        weights = np.stack([np.bincount(d, impact * (c[t] >= 0), len(ids)) for c in columns]) if columns else np.zeros((1, len(ids)))
+        order = np.lexsort((-weights.max(0), weights.argmax(0)))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        by_doc = np.argsort(rank[d], kind="stable")
+        d, t, impact, ids = rank[d][by_doc], t[by_doc], impact[by_doc], ids[order]
+        of = runs(d, len(ids))
+        for lo in range(0, len(ids), SHARD):
+            hi = min(len(ids), lo + SHARD)
+            own = slice(of[lo], of[hi])
+            shard = Shard(ids[lo:hi], d[own] - lo, t[own], impact[own])
+            place[shard.words] = np.arange(len(shard.words))
+            for chunk in q.chunks:
+                search_shard(shard, q, chunk, best, s, place, columns[chunk.cluster])
+            place[shard.words] = -1
+    best.merge()
     r, c = np.nonzero(np.isfinite(best.score))
     hit = best.id[r, c]
     yield pa.RecordBatch.from_arrays([pa.array(q.ids[r]), pa.array(hit, mask=hit == LAST), pa.array(best.score[r, c])], names=["query_id", "doc_id", "score"])
 
 
-def add_essential(scores: np.ndarray, d: np.ndarray, impact: np.ndarray, first: np.ndarray, last: np.ndarray, of_word: np.ndarray) -> None:
-    """Adds the impact of each posting to all queries that have its word, some million pairs at a time."""
-    some = np.flatnonzero(last > first)
-    n, d, impact, first = (last - first)[some], d[some], impact[some], first[some]
-    ends, at = np.cumsum(n), 0
-    while at < len(n):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
-        m = n[at:to]
-        step = np.arange(m.sum()) + np.repeat(first[at:to] - np.cumsum(m) + m, m)
-        np.add.at(scores.reshape(-1), of_word[step] * SHARD + np.repeat(d[at:to], m), np.repeat(impact[at:to], m))
-        at = to
+def own(x):
+    """An array that was unpickled, with numpy's own type object: with another one, even if equal, ``np.add.at`` takes fifty times as long."""
+    return x.view(x.dtype.type) if isinstance(x, np.ndarray) else x
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 8_192, frequent: int = 512) -> DataFrame:
+def search_block(index: DataFrame, q: Queries, k: int, k1: float, b: float) -> DataFrame:
+    """query_id, rank, doc_id, score of a block of queries in some documents of the index, in the shared folder.
+
+    The broadcast holds plain arrays, which need none of this package's classes, and ends with the pass."""
+    sent = index.sparkSession.sparkContext.broadcast((q.ids, q.words, q.idf, [tuple(vars(c).values()) for c in q.chunks], q.frequent, q.mean_length))
+    floor = q.floor
+
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, idf, chunks, frequent, mean_length = sent.value
+        yield from search_rows(batches, Queries(ids, words, own(idf), [Chunk(*map(own, c)) for c in chunks], frequent, mean_length, own(floor)), k, k1, b)
+
+    best = keep(ranked(index.mapInArrow(pass_, "query_id long, doc_id long, score double"), k))
+    sent.destroy()
+    return best
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 16_384, frequent: int = 1024, clusters: int = 6, longest: int = 32) -> DataFrame:
     """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score."""
     ship(__name__, WordHasher.__module__)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(df_rows, "word long, df long, total long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    counted = keep(counted)
-    own = keep(queries.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(query_rows, "id long, words array<long>").where("id IS NOT NULL"))
-    stats = counted.where("word IS NULL").first()
-    n_blocks = max(1, -(-own.count() // query_block))
-    found = None
-    for block in range(n_blocks if stats else 0):
+    stored = keep(texts.mapInArrow(index_rows, INDEX))
+    index = stored.where("NOT df")
+    frequencies = keep(stored.where("df").mapInArrow(df_rows, "word long, df long, total long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
+    own = keep(queries.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(query_rows, "id long, words array<long>"))
+    stats = frequencies.where("word IS NULL").first()
+    long = index.agg(F.percentile_approx("length", 1 - 1 / longest)).first()[0]
+    is_long = F.col("length") >= F.lit(long if long is not None else 0)
+    n_blocks = -(-own.count() // query_block) if stats else 0
+    found = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    for block in range(n_blocks):
         rows = own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
         words = rows.select(F.explode("words").alias("word")).distinct()
-        df = counted.join(words, "word").select("word", "df").toArrow()
-        part = prepared(rows.select("id", "words").toArrow(), df, stats.df, stats.total / max(1, stats.df), frequent)
-        hits = texts.mapInArrow(lambda it, q=part: search_rows(it, q, k, k1, b), "query_id long, doc_id long, score double")
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float, frequent: int) -> Queries:
-    """The block of queries (id, words) as the tasks need it, with the document frequencies of its words (word, df)."""
-    ids, place = np.unique(rows.column("id").to_numpy(), return_inverse=True)
-    h, count = df.column("word").to_numpy().view(np.uint64), df.column("df").to_numpy().astype(np.float64)
-    order = np.argsort(h)
-    h, count = h[order], count[order]
-    words = rows.column("words").combine_chunks()
-    sizes, own = np.diff(words.offsets.to_numpy()), words.values.to_numpy().view(np.uint64)
-    at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
-    there = h[at] == own if len(h) else np.zeros(len(own), bool)  # words that no document has can't add to a score
-    pairs = np.unique(at[there] * np.int64(max(1, len(ids))) + np.repeat(place, sizes)[there])
-    t, who = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-    chunks = []
-    for first in range(0, len(ids), CHUNK):
-        own = (who >= first) & (who < first + CHUNK)
-        chunks.append((np.searchsorted(t[own], np.arange(len(h) + 1)).astype(np.int32), (who[own] - first).astype(np.int64)))
-    idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
-    work = np.bincount(t, minlength=len(h)) * count
-    most = np.sort(np.argsort(-work, kind="stable")[:frequent])
-    return Queries(ids, h, idf, chunks, most[work[most] > 0], max(mean_length, 1e-9))
+        df = frequencies.join(words, "word").select("word", "df").toArrow()
+        q = prepared(rows.select("id", "words").toArrow(), df, stats.df, stats.total / max(1, stats.df), frequent, clusters)
+        first = search_block(index.where(is_long), q, k, k1, b)
+        kth = first.where(F.col("rank") == k).select("query_id", "score").toArrow()
+        by_id = np.argsort(q.ids)
+        at = by_id[np.searchsorted(q.ids, kth.column("query_id").to_numpy(), sorter=by_id)]
+        q.floor[at] = np.maximum(q.floor[at], kth.column("score").to_numpy() - 10.0**-DIGITS)
+        both = first.unionAll(search_block(index.where(~is_long), q, k, k1, b)).drop("rank")
+        found = found.unionAll(ranked(both, k))
+    return found

@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are hashed at once.
-PIECE = 1 << 18
+#: Bytes that are hashed at once (their arrays fit in a core's cache).
+PIECE = 1 << 15
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -48,7 +48,7 @@ class WordHasher:
     def __init__(self, inside: str):
         self.inside = byte_class(inside)
         self.lower = lower_table()
-        self.value = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
+        self.value = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))[self.lower]  # a capital's is that of its letter
         self.power = self.inverse = np.ones(0, np.uint64)
         self.grow(1 << 16)
 
@@ -72,29 +72,35 @@ class WordHasher:
         last[before] = inside[before]
         start, end = np.flatnonzero(first), np.flatnonzero(last)
         self.grow(len(raw))
-        total = np.cumsum(self.value[self.lower[raw]] * self.power[: len(raw)])
-        low = total[start] - self.value[self.lower[raw[start]]] * self.power[start]
+        own = self.value[raw]
+        own *= self.power[: len(raw)]
+        before_own = own[start]
+        total = np.cumsum(own, out=own)
+        low = total[start] - before_own
         return mixed((total[end] - low) * self.inverse[start]), start, end + 1
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words of a string column, and the text (its row) of each. Nulls have none."""
-        return self.words(texts)[:2]
+        return self.words(texts, False)[:2]
 
-    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, texts: pa.Array, leads: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As column(), and the first two bytes of each word."""
         data, offsets = text_bytes(texts)
-        hashes, rows, leads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
-        at, stop = int(offsets[0]), int(offsets[-1])
+        hashes, lead, n_before = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], np.zeros(len(offsets), np.int64)
+        at, stop, n = int(offsets[0]), int(offsets[-1]), 0
         while at < stop:
             to = self.cut(data, at, stop, offsets)
             i, j = np.searchsorted(offsets, at), np.searchsorted(offsets, to)
             raw = data[at:to]
             h, start, end = self.piece(raw, offsets[i:j] - at)
             hashes.append(h)
-            rows.append(np.searchsorted(offsets, start + at, "right") - 1)
-            leads.append(self.lower[raw[start]].astype(np.uint16) * 256 + self.lower[raw[np.minimum(start + 1, end - 1)]])
+            n_before[i:j] = n + np.searchsorted(start, offsets[i:j] - at)
+            n += len(h)
+            if leads:
+                lead.append(self.lower[raw[start]].astype(np.uint16) * 256 + self.lower[raw[np.minimum(start + 1, end - 1)]])
             at = to
-        return np.concatenate(hashes), np.concatenate(rows), np.concatenate(leads)
+        n_before[np.searchsorted(offsets, stop) :] = n
+        return np.concatenate(hashes), np.repeat(np.arange(len(offsets) - 1), np.diff(n_before)), np.concatenate(lead)
 
     def cut(self, data: np.ndarray, at: int, stop: int, offsets: np.ndarray) -> int:
         """Where the next piece ends: at a place where no word goes on."""
@@ -119,6 +125,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by sorting (``np.unique`` without indices hashes, which takes longer for numbers like these)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def runs(rows: np.ndarray, n: int) -> np.ndarray:
     """Offsets of the n rows in a sorted list of row numbers."""
     return np.searchsorted(rows, np.arange(n + 1))
