@@ -1,19 +1,20 @@
 """Benchmark decontamination with training suffix arrays.
 
 The training texts are worked on in shards (what a task has read, a few MB at a time).  Of a shard a
-suffix array is built over its word sequence, ordered to the depth of a window; every suffix of every
-benchmark item is binary-searched in it, which finds all places where the window at that suffix occurs.
-Words that no item has can't be in a match, so suffixes that meet one before a window is full are left
-out of the array; that is exact and keeps arrays small.
+suffix array is built over its word sequence; every suffix of every benchmark item is binary-searched in
+it (equal ones once), which finds all places where a window of it occurs.  Windows that follow each other
+on the same diagonal (same item, same distance of the places) are one match, so the longest verbatim
+matches and their places in the item and in the text come out whole, though the array is only ordered to the depth
+of a window.  Words that no item has can't be in a match, so suffixes that meet one before a window is full are
+left out of the array; that is exact and keeps arrays small.
 
-The items are the broadcast side.  They go out in blocks of at most ``block_words`` words, each block
-in a pass of its own over the texts; where there is one block (up to some 400,000 words) there is no
-shuffle at all, with more of them the passes' hits are merged by document.
+The items go out in blocks of at most ``block_words`` words, each block in a pass of its own over the texts, and
+the driver holds one block at a time.  Where there is one block (up to some 400,000 words) nothing is shuffled; with more of
+them the texts are written once with a number for each row, and the passes' hits are merged by it.
 
 Defined results: a null or empty text, or one with no word, has no hit; an item without words is
-ignored; an item with fewer words than a window is one window; equal items all count; repeated rows
-are documents of their own where there is one block; empty tables give empty or clean results; extra
-columns don't matter.
+ignored; an item with fewer words than a window is one window; equal items all count; repeated rows and rows with a
+null id are documents of their own; empty tables give empty or clean results; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,35 +26,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, sent, ship
-from .textbytes import WordHasher, runs
+from .common import keep, ship
+from .textbytes import WordHasher, distinct, runs
 
 #: Texts of a shard.
 SHARD_ROWS = 256
-SCHEMA = "doc_id long, n_words long, item_ids array<string>, starts array<int>, ends array<int>"
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+#: Pairs of a window in an item and a place in a text that are joined to matches at once.
+PAIRS = 2_000_000
+MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("words", pa.int32())])
+SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(SPAN)), ("matches", pa.list_(MATCH))])
+SCHEMA = "doc_id long, n_words long, item_ids array<string>, spans array<struct<s:int,e:int>>, matches array<struct<item_id:string,item_start:int,start:int,words:int>>"
+Item = tuple[str, list[int]]
 
 
 class Windows:
-    """The distinct windows of a block of items, by length, and the items that have each."""
+    """The distinct windows of a block of items, by length, and the places in items that have each."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
-        """items: id and word hashes."""
-        self.vocabulary = np.unique(np.array([h for _, words in items for h in words], np.uint64))
-        found: dict[tuple[int, ...], set[str]] = {}
+    def __init__(self, items: list[Item], window: int):
+        """items: id and word hashes. Items with equal words are searched once."""
+        names: dict[tuple[int, ...], list[str]] = {}
         for name, words in items:
-            ids = tuple(int(x) + 1 for x in np.searchsorted(self.vocabulary, np.array(words, np.uint64)))
+            names.setdefault(tuple(words), []).append(name)
+        self.names = [sorted(own) for own in names.values()]
+        self.vocabulary = distinct(np.array([h for words in names for h in words], np.uint64))
+        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, words in enumerate(names):
+            ids = tuple((np.searchsorted(self.vocabulary, np.array(words, np.uint64)) + 1).tolist())
             for i in range(max(1, len(ids) - window + 1)):
-                found.setdefault(ids[i : i + window], set()).add(name)
+                found.setdefault(ids[i : i + window], []).append((item, i))
         self.depth = window
         keys = list(found)
         self.length = np.array([len(k) for k in keys], np.int64)
         self.words = np.zeros((len(keys), window), np.int32)
         for i, k in enumerate(keys):
             self.words[i, : len(k)] = k
-        self.items = [sorted(found[k]) for k in keys]
+        self.first = np.cumsum([0, *(len(found[k]) for k in keys)])
+        places = np.array([x for k in keys for x in found[k]], np.int64).reshape(-1, 2)
+        self.item, self.offset = places[:, 0], places[:, 1]
         self.shortest = int(self.length.min()) if keys else 0
 
+    def matches(self, window: np.ndarray, place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Occurrences (window, place in the shard, its text) -> maximal matches: text, item, place in the item, place in the shard, words."""
+        order = np.lexsort((place, row))
+        window, place, row = window[order], place[order], row[order]
+        n = (self.first[1:] - self.first[:-1])[window]
+        ends, at, parts = np.cumsum(n), 0, []
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            if to < len(n):  # a text's pairs stay together
+                first, last = np.searchsorted(row, [row[to], row[to] + 1])
+                to = int(first) if first > at else int(last)
+            m = n[at:to]
+            step = np.repeat(self.first[window[at:to]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            item, offset, here = self.item[step], self.offset[step], np.repeat(place[at:to], m)
+            text, words = np.repeat(row[at:to], m), np.repeat(self.length[window[at:to]], m)
+            order = np.lexsort((here, here - offset, item, text))
+            item, offset, here, text, words = item[order], offset[order], here[order], text[order], words[order]
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (here[1:] != here[:-1] + 1) | (offset[1:] != offset[:-1] + 1)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(item)) - 1
+            parts.append((text[begin], item[begin], offset[begin], here[begin], here[end] + words[end] - here[begin]))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
+
 
 def suffix_array(ids: np.ndarray, reach: np.ndarray, depth: int, shortest: int) -> np.ndarray:
     """Places whose suffix has ``shortest`` known words or more, ordered by their first ``depth`` words.
@@ -117,52 +154,66 @@ def shard_hits(ids: np.ndarray, rows: np.ndarray, n: int, windows: Windows) -> t
     return window, array[np.repeat(low[hit], n_of) + offset]
 
 
-def find(batches: Iterator[pa.RecordBatch], items: list[tuple[str, list[int]]], window: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> for each text its words, the items that have a window in it and the spans of hit words."""
-    hasher, windows = WordHasher("alnum"), Windows(items, window)
+def known_words(h: np.ndarray, windows: Windows) -> np.ndarray:
+    """Each word's number among the items' words, from 1, or 0."""
+    if not len(windows.vocabulary):
+        return np.zeros(len(h), np.int32)
+    place = np.minimum(np.searchsorted(windows.vocabulary, h), len(windows.vocabulary) - 1)
+    return np.where(windows.vocabulary[place] == h, place + 1, 0).astype(np.int32)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows, their words' hashes and the text of each."""
+    hasher = WordHasher("alnum")
     for batch in batches:
         for at in range(0, batch.num_rows, SHARD_ROWS):
             part = batch.slice(at, SHARD_ROWS)
-            h, rows = hasher.column(part.column(1))
-            n = part.num_rows
-            if len(windows.vocabulary):
-                place = np.minimum(np.searchsorted(windows.vocabulary, h), len(windows.vocabulary) - 1)
-                ids = np.where(windows.vocabulary[place] == h, place + 1, 0).astype(np.int32)
-            else:
-                ids = np.zeros(len(h), np.int32)
-            found, where = shard_hits(ids, rows, n, windows)
-            mark = np.zeros(len(h) + 1, np.int32)
-            np.add.at(mark, where, 1)
-            np.add.at(mark, where + windows.length[found], -1)
-            hit = np.cumsum(mark)[:-1] > 0
-            offsets = runs(rows, n)
-            first = hit.copy()
-            first[1:] &= ~hit[:-1]
-            first[offsets[:-1][offsets[:-1] < len(h)]] = hit[offsets[:-1][offsets[:-1] < len(h)]]
-            last = hit.copy()
-            last[:-1] &= ~hit[1:]
-            ends_at = offsets[1:][offsets[1:] > 0] - 1
-            last[ends_at] = hit[ends_at]
-            start, end = np.flatnonzero(first), np.flatnonzero(last)
-            of_start = runs(rows[start], n)
-            pairs = np.unique(np.stack([rows[where], found]), axis=1) if len(found) else np.zeros((2, 0), np.int64)
-            of_pair = runs(pairs[0], n)
-            names: list[list[str]] = []
-            for i in range(n):
-                own: set[str] = set()
-                for w in pairs[1, of_pair[i] : of_pair[i + 1]]:
-                    own.update(windows.items[w])
-                names.append(sorted(own))
-            base = offsets[rows[start]]
-            spans = [pa.ListArray.from_arrays(pa.array(of_start, pa.int32()), pa.array(x.astype(np.int32))) for x in (start - base, end + 1 - base)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(names, pa.list_(pa.string())), *spans], schema=OUT)
-
-
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[int]]]]:
+            yield part, *hasher.column(part.column(column))
+
+
+def find(batches: Iterator[pa.RecordBatch], items: list[Item], window: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, text -> for each text its words, the items that have a window in it, the spans of hit words and the longest matches."""
+    windows = Windows(items, window)
+    for part, h, rows in parts_of(batches, 1):
+        n, offsets = part.num_rows, runs(rows, part.num_rows)
+        found, where = shard_hits(known_words(h, windows), rows, n, windows)
+        mark = np.zeros(len(h) + 1, np.int64)
+        np.add.at(mark, where, 1)
+        np.add.at(mark, where + windows.length[found], -1)
+        hit = np.cumsum(mark)[:-1] > 0
+        first, last = hit.copy(), hit.copy()
+        first[1:] &= ~hit[:-1]
+        starts = offsets[:-1][offsets[:-1] < len(h)]
+        first[starts] = hit[starts]
+        last[:-1] &= ~hit[1:]
+        ends = offsets[1:][offsets[1:] > 0] - 1
+        last[ends] = hit[ends]
+        start, end = np.flatnonzero(first), np.flatnonzero(last)
+        base = offsets[rows[start]]
+        spans = pa.StructArray.from_arrays([pa.array((x - base).astype(np.int32)) for x in (start, end + 1)], fields=list(SPAN))
+        text, item, offset, here, words = windows.matches(found, where, rows[where])
+        matches: list[list[dict]] = [[] for _ in range(n)]
+        for t, i, o, x, w in zip(text.tolist(), item.tolist(), offset.tolist(), (here - offsets[text]).tolist(), words.tolist(), strict=True):
+            matches[t] += [{"item_id": name, "item_start": o, "start": x, "words": w} for name in windows.names[i]]
+        names = [sorted({m["item_id"] for m in own}) for own in matches]
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(names, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(runs(rows[start], n), pa.int32()), spans), pa.array(matches, pa.list_(MATCH))], schema=OUT)
+
+
+def without_hits(batches: Iterator[pa.RecordBatch], items: list[Item], window: int, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows, all columns as they are, whose text has no window of the items."""
+    windows = Windows(items, window)
+    for part, h, rows in parts_of(batches, column):
+        _, where = shard_hits(known_words(h, windows), rows, part.num_rows, windows)
+        clean_ = np.ones(part.num_rows, bool)
+        clean_[rows[where]] = False
+        yield part.filter(pa.array(clean_))
+
+
+def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[Item]]:
     """The items in blocks of bounded size, one partition of them at the driver at a time."""
     hasher, block, words = WordHasher("alnum"), [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        h = [int(x) for x in hasher.column(pa.array([row.text], pa.string()))[0]]
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("text")).toLocalIterator():
+        h = hasher.column(pa.array([row.text], pa.string()))[0].tolist()
         if h:
             block.append((row.i if row.i is not None else "", h))
             words += len(h)
@@ -173,41 +224,52 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, l
         yield block
 
 
-#: Sorted spans, overlapping or touching ones joined.
-MERGED = """aggregate(array_sort(transform(arrays_zip(starts, ends), x -> struct(x.starts AS s, x.ends AS e))),
-      cast(array() AS array<struct<s:int,e:int>>),
+#: Sorted spans of several passes, overlapping or touching ones joined.
+MERGED = """aggregate(array_sort(spans), cast(array() AS array<struct<s:int,e:int>>),
       (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).e >= x.s
         THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s AS s, greatest(element_at(a, -1).e, x.e) AS e)))
         ELSE concat(a, array(x)) END)"""
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 400_000) -> DataFrame:
-    """doc_id, n_words, n_hit, longest_run (most hit words in a row), item_ids (sorted), spans (word places), contaminated."""
+    """One row per document: doc_id, n_words, n_hit, longest_match (words of its longest verbatim match with an item),
+    item_ids (sorted), spans of hit words, matches (item, its place in the item and in the text, words), contaminated."""
     ship(__name__, WordHasher.__module__)
-    todo = list(blocks(benchmark, block_words)) or [[]]
-    passes = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it, b=b: find(it, b, window), SCHEMA) for b in todo]
-    found = passes[0]
-    if len(passes) > 1:
-        hits = passes[0]
-        for p in passes[1:]:
-            hits = hits.unionAll(p)
-        found = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-        found = found.withColumn("spans", F.expr(MERGED))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    todo = blocks(benchmark, block_words)
+    block, more = next(todo, []), next(todo, None)
+    if more is None:
+        found = texts.mapInArrow(lambda it: find(it, block, window), SCHEMA)
     else:
-        found = found.withColumn("spans", F.expr("transform(arrays_zip(starts, ends), x -> struct(x.starts AS s, x.ends AS e))"))
-    length = F.expr("transform(spans, x -> x.e - x.s)")
-    found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + x.e - x.s)")).withColumn("longest_run", F.coalesce(F.array_max(length), F.lit(0)).cast("long"))
-    return found.select("doc_id", "n_words", "n_hit", "longest_run", "item_ids", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+        numbered = keep(texts.withColumn("row", F.monotonically_increasing_id()))
+        rows = numbered.select(F.col("row").alias("doc_id"), "text")
+        passes = keep(rows.mapInArrow(lambda it, b=block: find(it, b, window), SCHEMA))
+        hits = passes.where("size(spans) > 0").drop("n_words")
+        while more is not None:
+            hits = hits.unionAll(keep(rows.mapInArrow(lambda it, b=more: find(it, b, window), SCHEMA).where("size(spans) > 0").drop("n_words")))
+            more = next(todo, None)
+        merged = hits.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "spans", "matches")]).withColumns({"spans": F.expr(MERGED), "item_ids": F.array_sort(F.array_distinct("item_ids"))})
+        merged = merged.withColumnRenamed("doc_id", "row")
+        own = passes.select(F.col("doc_id").alias("row"), "n_words")
+        found = numbered.select("row", "doc_id").join(own, "row").join(merged, "row", "left")
+        found = found.select("doc_id", "n_words", *[F.coalesce(c, F.expr(f"cast(array() AS {t})")).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMA.split(", ")[2:])])
+    n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.e - x.s)")
+    longest = F.coalesce(F.array_max(F.expr("transform(matches, x -> x.words)")), F.lit(0)).cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), longest.alias("longest_match"), "item_ids", "spans", "matches", (F.size("spans") > 0).alias("contaminated"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest_run")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest_match")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 400_000) -> DataFrame:
-    """The documents without any hit, all columns as they were.
+    """The documents without any hit, all columns as they were: each row is judged by its own text, whatever its id.
 
-    The ids of hit documents are few beside the texts; they are written to the shared folder, and Spark
-    picks the anti-join by their size."""
-    hit = keep(overlaps(docs, benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(sent(hit), docs["doc_id"] == F.col("_hit"), "left_anti")
+    With more than one block of items, what each pass keeps is written and the next one reads it."""
+    ship(__name__, WordHasher.__module__)
+    column, todo = [c.lower() for c in docs.columns].index("text"), blocks(benchmark, block_words)
+    block, more = next(todo, []), next(todo, None)
+    while more is not None:
+        docs = keep(docs.mapInArrow(lambda it, b=block: without_hits(it, b, window, column), docs.schema))
+        block, more = more, next(todo, None)
+    return docs.mapInArrow(lambda it: without_hits(it, block, window, column), docs.schema)

@@ -226,10 +226,59 @@ def test_decontamination_against_brute_force(spark, block_words):
         assert want == (got[d].n_words, got[d].n_hit, got[d].n_items, got[d].items_sha256, got[d].contaminated)
 
 
+@pytest.mark.parametrize("block_words", [400_000, 15])
+def test_decontamination_matches_are_longest(spark, block_words):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdef") + rng.choice("xyz")
+    items = [(f"i{k}", [word() for _ in range(rng.randint(1, 30))]) for k in range(9)]
+    items.append(("copy", items[0][1]))
+    docs = []
+    for d in range(30):
+        w = [word() for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(items)[1]
+            a = rng.randrange(len(own))
+            w += own[a : a + rng.randint(1, 25)] + [word() for _ in range(rng.randint(0, 2))]
+        docs.append((rng.choice([1, 2, None]), " ".join(w), str(d), "s", 0))
+    want = Counter()
+    for d, t, *_ in docs:
+        w, found = t.split(), set()
+        for name, own in items:
+            least = min(10, len(own))
+            for i in range(len(w)):
+                for j in range(len(own)):
+                    if (i and j and w[i - 1] == own[j - 1]) and len(own) >= 10:
+                        continue  # goes further to the left
+                    n = 0
+                    while i + n < len(w) and j + n < len(own) and w[i + n] == own[j + n]:
+                        n += 1
+                    if n >= least:
+                        found.add((name, j, i, n))
+        want[(d, len(w), frozenset(found), max((x[3] for x in found), default=0))] += 1
+    found = decontam.overlaps(docs_of(spark, docs), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id string, text string"), block_words=block_words).collect()
+    assert want == Counter((r.doc_id, r.n_words, frozenset((m.item_id, m.item_start, m.start, m.words) for m in r.matches), r.longest_match) for r in found)
+    kept = decontam.clean(docs_of(spark, docs), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id string, text string"), block_words=block_words)
+    assert Counter(r.text for r in kept.collect()) == Counter(r[1] for r in docs if not brute_hit(r[1], items))
+
+
+def brute_hit(text, items):
+    w = text.split()
+    return any(w[i : i + min(10, len(own))] == own[j : j + min(10, len(own))] for _, own in items for i in range(len(w)) for j in range(max(1, len(own) - 9)) if len(w) - i >= min(10, len(own)))
+
+
+def test_decontamination_judges_rows_not_ids(spark):
+    items = spark.createDataFrame([(1, "bad words here")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "bad words here", "a", None, 0), (1, "good words here", "b", None, 0), (None, "bad words here", "c", None, 0), (None, "fine", "d", None, 0)])
+    assert sorted(r.lang for r in decontam.clean(docs, items).collect()) == ["b", "d"]
+    for block_words in (400_000, 1):
+        more = items.unionAll(spark.createDataFrame([(2, "other things")], "item_id long, text string"))
+        assert sorted((str(r.doc_id), r.n_hit) for r in decontam.overlaps(docs, more, block_words=block_words).collect()) == [("1", 0), ("1", 3), ("None", 0), ("None", 3)]
+
+
 def test_decontamination_odd_rows(spark):
     items = spark.createDataFrame([(1, "one"), (None, "no id here")], "item_id long, text string")
     docs = docs_of(spark, ODD).selectExpr("*", "1 AS n_hit")
-    assert sorted(str(r.doc_id) for r in decontam.clean(docs, items).collect()) == ["1", "2", "3", "5", "None"]
+    assert sorted(str(r.doc_id) for r in decontam.clean(docs, items).collect()) == ["1", "2", "3", "5"]
     assert decontam.overlaps(docs, items.limit(0)).where("contaminated").count() == 0 and decontam.overlaps(docs.limit(0), items).count() == 0
 
 
@@ -246,16 +295,74 @@ def test_extraction():
 def test_wrapper_induction(spark):
     page = lambda a, i: f"<body><div class='top'><span>Site name</span></div><div class='box{i}'><p>{a} story number {i} with its own words</p><p>Read all about it</p></div><div>Fixed end</div></body>"
     pages = [page("A", i) for i in range(5)]
-    constant, slot = extract.induce(pages)
-    assert slot == "/#root/body/div.box0".replace("/#root", "") or slot.endswith("div.box0")
-    assert extract.extract(pages[0], frozenset(constant), slot) == "A story number 0 with its own words"
-    assert extract.induce([pages[0]] * 9) == ([], None)
+    constant, slots = extract.induce(pages)
+    assert len(slots) == 1 and slots[0].endswith("/body/div.box0")
+    assert extract.extract(pages[0], frozenset(constant), tuple(slots)) == "A story number 0 with its own words"
+    assert extract.induce([pages[0]] * 9) == ([], [])
     rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)] + [(7, None, None), (8, "http://h.example/8", ""), (8, "http://h.example/8", "")]
     got = extract.digest(extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "'y' AS host"))).collect()
     assert {(r.page_id, r.n_chars) for r in got} == {(i, len(f"A story number {i} with its own words")) for i in range(5)} | {(7, 0), (8, 0)} and len(got) == 8
     assert extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def brute_matching(a, b):
+    """Simple tree matching as it is defined, by plain recursion."""
+    if a.label != b.label:
+        return 0
+    xs, ys = a.nodes(), b.nodes()
+    m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+def random_page(rng, depth=4):
+    if not depth or rng.random() < 0.2:
+        return f"w{rng.randrange(3)} "
+    return "".join(f"<{t}>{random_page(rng, depth - 1)}</{t}>" for t in (rng.choice(["div", "section", "span", "b"]) for _ in range(rng.randrange(4))))
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 3])
+def test_alignments_are_largest(cells):
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = (extract.parse("<body>" + random_page(rng) + "</body>") for _ in range(2))
+        m = extract.Matcher(cells)
+        m.shape(a), m.shape(b)
+        pairs = list(m.align(a, b))
+        want = brute_matching(a, b)
+        assert len(pairs) == want == m.size(m.of[id(a)], m.of[id(b)]) and all(x.label == y.label for x, y in pairs)
+
+
+def test_long_lists_and_deep_trees_are_matched():
+    long = lambda n, odd: "<ul>" + "".join(f"<li class='{'x' if i == odd else 'y'}'>{i}</li>" for i in range(n)) + "</ul>"
+    a, b = extract.parse("<body>" + long(3000, 5) + "</body>"), extract.parse("<body>" + long(2900, 40) + "</body>")
+    m = extract.Matcher()
+    m.shape(a), m.shape(b)
+    assert len(list(m.align(a, b))) == 3 + 2899  # all but one of the two odd ones
+    deep = [extract.parse("<div>" * 4000 + f"<p>{i}</p>" + "</div>" * 4000) for i in range(2)]
+    m = extract.Matcher()
+    assert m.size(*[m.shape(t) for t in deep]) == 4002
+
+
+def test_the_slot_decides_and_is_narrowed():
+    page = lambda i: f"<body><div class='bar'>menu {i}</div><div class='wrap'><div class='story'><h1>Title {i}</h1><p>{'some words of its own ' * 9}{i}</p></div></div><div class='x{i}'>small print {i}</div></body>"
+    pages = [page(i) for i in range(4)]
+    constant, slots = extract.induce(pages)
+    assert slots and slots[0].endswith("/div.wrap/div.story")
+    assert extract.extract(pages[1], frozenset(constant), tuple(slots)).startswith("Title 1 some words") and "print" not in extract.extract(pages[1], frozenset(constant), tuple(slots))
+    main = [p.replace("<h1>", "<article><h1>").replace("</p>", "</p></article><p>more of the box</p>") for p in pages]
+    constant, slots = extract.induce(main)
+    assert extract.extract(main[2], frozenset(constant), tuple(slots)).endswith("2") and slots
+
+
+def test_repeated_and_null_page_ids(spark):
+    rows = [(None if i % 2 else 5, "http://h.example/x", f"<body><nav>n</nav><article><p>text {i % 9} of a page</p></article></body>") for i in range(40)]
+    got = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter((p, f"text {i % 9} of a page") for i, (p, _, _) in enumerate(rows))
+
+
 # near-duplicates
 
 
