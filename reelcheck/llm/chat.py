@@ -4,7 +4,8 @@ A turn is written as ``<|im_start|>role``, a line break, the text, ``<|im_end|>`
 is its turns one after the other.  Control strings of this and of other usual templates inside
 a text or role are escaped by a backslash after their first character; one that has n backslashes there gets n + 1, so
 that the escape is reversible.  Every turn is first written as it is, reparsed with a deterministic parser and
-compared to its source; only where they differ it is escaped, and then must be equal.
+compared to its source; only where they differ it is escaped, and then must be equal.  Reading back, the whole
+rendered conversation is reparsed from its first character on, whatever rows it came in.
 
 The loss mask of a turn is the span of an assistant's text in the written turn.  Turns are written row by row; they
 are put together per conversation as a sorted stream, so that no conversation needs to fit in memory.
@@ -36,7 +37,28 @@ TURNS = "conv_id long, turn long, written string, loss_start int, loss_end int"
 
 
 class GrammarError(ValueError):
-    """A written turn that doesn't follow the grammar or doesn't give back its source."""
+    """Written text that doesn't follow the grammar or doesn't give back its source."""
+
+
+class Parser:
+    """Reads a whole conversation as it streams by, wherever its pieces are cut; holds no more than one turn."""
+
+    def __init__(self) -> None:
+        self.left = ""
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """role and text of the turns that are complete now."""
+        self.left += piece
+        cut = self.left.rfind(END + "\n") + len(END) + 1
+        if cut <= len(END):
+            return []
+        turns = parse(self.left[:cut])
+        self.left = self.left[cut:]
+        return [(role, text) for role, text, _, _ in turns]
+
+    def close(self) -> None:
+        if self.left:
+            raise GrammarError("the conversation ends inside a turn")
 
 
 def escape(text: str) -> str:
@@ -107,14 +129,15 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if state is not None:
+            state["parser"].close()
             done.append((state["id"], state["n"], state["turns"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["all"]))
 
     for b in batches:
         for conv, _, written, start, end in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
             if state is None or state["id"] != conv:
                 close()
-                state = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0}
-            for role, text, _, _ in parse(written):
+                state = {"id": conv, "parser": Parser(), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0}
+            for role, text in state["parser"].feed(written):
                 state["n"] += 1
                 state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             state["all"] += len(written)

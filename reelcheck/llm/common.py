@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is used."""
+    Only where the session names none and all runs on one machine (tests), a temporary folder is used."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="reelcheck-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,6 +56,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def fresh(name: str, *taken: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,20 @@
 """Language-model scores from a log-bilinear model, trained in numpy with noise-contrastive estimation.
 
-Words: the most frequent ones are classes of their own (the first is the end of a text); every other
-word belongs to one of ``buckets`` classes by its first two bytes.  The log-bilinear model gives the
-probability of a word's class from the two classes before it: the context vectors of either position are added, and a
-class's score is the product with its vector, plus its bias.  Within a bucket a word has its share (c + 1) of the
-bucket's counts, unknown words together one more.  So the probabilities of all known words and of an unknown one in each bucket sum to one.
+Words are predicted in two steps.  The most frequent ones are classes of their own (the first is the end of a text); every
+other word belongs to one of ``buckets`` classes by its first two bytes.  A log-bilinear model gives the probability of a
+word's class from the two tokens before it: the context vectors of either position are added, and a class's score is
+the product with its vector, plus its bias.  Within a bucket a second log-bilinear model, with vectors for each word as target and as
+context, tells the bucket's own words apart; there are as many of these as the square root of the number of training tokens
+(up to ``most_words``), so the vocabulary that context tells apart grows with the corpus.  What is rarer shares one member of
+its bucket, and a word has its share (c + 1) of that member's counts, unknown words together one more.  So the probabilities of all
+known words and of an unknown one in each bucket sum to one.
 
 Counting covers all training texts: counts are pre-aggregated per batch in numpy, then summed by Spark.
-Training covers all tokens of the training texts: every task trains a copy of the model on its texts, Spark
-averages the copies by their tokens, and the next round goes on from the average (a short first round
-brings the copies in line).  Scores use batched matrix products over the distinct contexts of a batch.
+Training covers all tokens of the training texts.  Texts are dealt by a hash of their content to shards of some
+``shard_tokens`` tokens (at most ``trainers`` shards); a copy of the model is trained on each shard in the order of the hash,
+copies are averaged by their tokens, slice by slice, and the next round goes on from the average (a short first
+round brings the copies in line).  So the model depends on the texts alone, not on files, partitions or tasks.
+Scores use batched matrix products over the distinct contexts of a batch, and over the tokens of a bucket.
 
 The counts of the ``known`` most frequent words go to all tasks (a bounded table); those of rarer words never
 leave Spark: texts' rare words are joined with them.
@@ -34,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import keep, ship
 from .textbytes import Lookup, WordHasher, mixed, runs
 
-#: Texts that are worked on at once.
-ROWS = 1024
+#: Texts that are worked on at once, and cells of the model that are averaged at once.
+ROWS, SLICE = 1024, 1 << 16
 END = 0
 
 
@@ -44,12 +49,16 @@ class Words:
     """What tasks need of the counts. Hashes are signed as in Spark."""
 
     short: np.ndarray  # hashes of the words that are classes; class i + 1
+    own: np.ndarray  # hashes of the words that are members of their bucket, by member
+    member: np.ndarray  # their members: those of bucket b are from first[b] on, the first one is of all rarer words
+    first: np.ndarray
     known: np.ndarray  # hashes and counts of frequent words
     counts: np.ndarray
     end_count: int
     buckets: int
-    log_bucket: np.ndarray  # log10 of each bucket's mass
+    log_rest: np.ndarray  # log10 of the mass of each bucket's rarer words
     noise: np.ndarray  # probability of each class among training tokens
+    inner: np.ndarray  # probability of each member in its bucket
 
     @property
     def classes(self) -> int:
@@ -62,15 +71,31 @@ class Model:
     second: np.ndarray  # and of the one before that
     word: np.ndarray
     bias: np.ndarray
+    first_in: np.ndarray  # the same for members, with vectors of words (classes, then members) as context
+    second_in: np.ndarray
+    member: np.ndarray
+    bias_in: np.ndarray
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.first, self.second, self.word, self.bias[:, None]]
+        return [self.first, self.second, self.word, self.bias, self.first_in, self.second_in, self.member, self.bias_in]
+
+    def copy(self) -> Model:
+        return Model(*[a.copy() for a in self.arrays()])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.arrays()])
+
+    def like(self, flat: np.ndarray) -> Model:
+        ends = np.cumsum([a.size for a in self.arrays()])[:-1]
+        return Model(*[x.reshape(a.shape).astype(np.float32) for x, a in zip(np.split(flat, ends), self.arrays(), strict=True)])
 
     @staticmethod
-    def start(noise: np.ndarray, dim: int, seed: int = 7) -> Model:
+    def start(words: Words, dim: int, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
-        make = lambda: rng.normal(0, 0.1, (len(noise), dim)).astype(np.float32)
-        return Model(make(), make(), make(), np.log(noise).astype(np.float32))
+        make = lambda n: rng.normal(0, 0.1, (n, dim)).astype(np.float32)
+        c, m = len(words.noise), len(words.inner)
+        contexts = c - words.buckets + m
+        return Model(make(c), make(c), make(c), np.log(words.noise).astype(np.float32), make(contexts), make(contexts), make(m), np.log(words.inner).astype(np.float32))
 
     def log_probabilities(self, before: np.ndarray, before2: np.ndarray, target: np.ndarray, block: int = 4096) -> np.ndarray:
         """Normalised log10 probabilities; sums over all classes are worked out once for each distinct context."""
@@ -96,12 +121,29 @@ class Model:
         return (own + self.bias[target] - total[at]).astype(np.float64) / math.log(10)
 
 
-class Trainer:
-    """Adagrad on the noise-contrastive objective, with the noise shared within a batch."""
+    def log_members(self, before: np.ndarray, before2: np.ndarray, member: np.ndarray, bucket_: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of members in their buckets: one matrix product for each bucket."""
+        out = np.empty(len(member), np.float64)
+        order = np.argsort(bucket_, kind="stable")
+        of = np.searchsorted(bucket_[order], np.arange(len(first)))
+        for b in np.flatnonzero(of[1:] > of[:-1]):
+            at = order[of[b] : of[b + 1]]
+            s = (self.first_in[before[at]] + self.second_in[before2[at]]) @ self.member[first[b] : first[b + 1]].T + self.bias_in[first[b] : first[b + 1]]
+            s -= s.max(1)[:, None]
+            out[at] = s[np.arange(len(at)), member[at] - first[b]] - np.log(np.exp(s).sum(1))
+        return out / math.log(10)
+
 
-    def __init__(self, model: Model, noise: np.ndarray, rate: float, samples: int, ratio: int, seed: int):
-        self.m, self.rate, self.samples, self.ratio = Model(*[a.copy() for a in (model.first, model.second, model.word, model.bias)]), rate, samples, ratio
-        self.noise, self.log_noise = np.cumsum(noise), np.log(noise * ratio).astype(np.float32)
+class Trainer:
+    """Adagrad on the noise-contrastive objective; the classes' noise is shared within a batch, the members' is drawn in their bucket."""
+
+    def __init__(self, model: Model, words: Words, rate: float, samples: int, ratio: int, inner_ratio: int, seed: tuple[int, int]):
+        self.m, self.rate, self.samples, self.ratio, self.inner_ratio = model.copy(), rate, samples, ratio, inner_ratio
+        self.noise, self.log_noise = np.cumsum(words.noise), np.log(words.noise * ratio).astype(np.float32)
+        self.first, self.log_inner = words.first, np.log(words.inner * inner_ratio).astype(np.float32)
+        total = np.cumsum(words.inner)
+        before = np.concatenate([[0.0], total])[self.first[:-1]]
+        self.inner = total - np.repeat(before, np.diff(self.first)) + np.repeat(np.arange(words.buckets), np.diff(self.first))  # bucket b's end at b + 1
         self.rng = np.random.default_rng(seed)
         self.squares = [np.full_like(a, 1e-6) for a in self.m.arrays()]
 
@@ -120,11 +162,41 @@ class Trainer:
         np.add.at(gw, drawn, false.T @ q)
         gb = np.bincount(target, true, c)
         np.add.at(gb, drawn, false.sum(0))
-        for a, g, s in zip(m.arrays(), (spread(before, gq, c), spread(before2, gq, c), gw, gb[:, None]), self.squares, strict=True):
+        for a, g, s in zip(m.arrays()[:4], (spread(before, gq, c), spread(before2, gq, c), gw, gb), self.squares, strict=False):
             g = (g / n).astype(np.float32)
             s += g * g
             a -= self.rate * g / np.sqrt(s)
 
+    def step_in(self, before: np.ndarray, before2: np.ndarray, member: np.ndarray, bucket_: np.ndarray) -> None:
+        m, n, k = self.m, len(member), self.inner_ratio
+        if not n:
+            return
+        q = m.first_in[before] + m.second_in[before2]
+        drawn = np.searchsorted(self.inner, self.rng.random((n, k)) + bucket_[:, None])
+        drawn = np.clip(drawn, self.first[bucket_][:, None], self.first[bucket_ + 1][:, None] - 1)
+        every = np.concatenate([member[:, None], drawn], axis=1)
+        vectors = m.member[every]
+        s = np.einsum("ij,ikj->ik", q, vectors) + m.bias_in[every] - self.log_inner[every]
+        s = 1 / (1 + np.exp(-s))
+        s[:, 0] -= 1
+        gq = np.einsum("ik,ikj->ij", s, vectors)
+        self.rows(4, before, gq, n)
+        self.rows(5, before2, gq, n)
+        self.rows(6, every.ravel(), (s[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), n)
+        self.rows(7, every.ravel(), s.reshape(-1, 1), n)
+
+    def rows(self, part: int, rows: np.ndarray, values: np.ndarray, n: int) -> None:
+        """Adagrad on those rows of a table that have a gradient."""
+        a, s = (x if x.ndim > 1 else x[:, None] for x in (self.m.arrays()[part], self.squares[part]))
+        there = np.zeros(len(a), bool)
+        there[rows] = True
+        own = np.flatnonzero(there)
+        place = np.empty(len(a), np.int64)
+        place[own] = np.arange(len(own))
+        g = (spread(place[rows], values, len(own)) / n).astype(np.float32)
+        s[own] += g * g
+        a[own] -= self.rate * g / np.sqrt(s[own])
+
 
 def spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the values by row."""
@@ -153,67 +225,139 @@ def count_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array([len(offsets) - 1] + [0] * (len(words) - 1) if len(words) else [], pa.int64())], names=["word", "bucket", "n", "texts"])
 
 
-def sequence(h: np.ndarray, lead: np.ndarray, offsets: np.ndarray, words: Words, short: Lookup, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens (every text's end included), those before them, and which are ends."""
-    n_texts = len(offsets) - 1
-    place = short.find(h)
-    own = np.where(place >= 0, order[place] + 1, 0)
-    rare = place < 0
-    own[rare] = 1 + len(words.short) + bucket(lead[rare], words.buckets)
-    target = np.zeros(len(h) + n_texts, np.int64)
-    at = np.arange(len(h)) + np.repeat(np.arange(n_texts), np.diff(offsets))
-    target[at] = own
-    ends = offsets[1:] + np.arange(n_texts)
-    before = np.concatenate([[END], target[:-1]]) if len(target) else target
-    before2 = np.concatenate([[END, END], target[:-2]])[: len(target)]
-    before2[offsets[:-1] + np.arange(n_texts)] = END
-    return target, before, before2, ends
-
-
-def short_lookup(words: Words) -> tuple[Lookup, np.ndarray]:
-    """Finds a word among the sorted classes, and the class of each sorted place."""
-    h = words.short.view(np.uint64)
-    return Lookup(h), np.argsort(h)
-
-
-def train_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model, rate: float, share: float, batch_tokens: int = 8192) -> Iterator[pa.RecordBatch]:
-    """One row for each row of each of the model's arrays, as trained on these texts; or none without texts."""
-    short, order = short_lookup(words)
-    t = Trainer(model, words.noise, rate, samples=64, ratio=16, seed=11)
-    done = 0
-    for _, h, lead, offsets in tokens(batches, 0):
-        target, before, before2, _ = sequence(h, lead, offsets, words, short, order)
-        mix = t.rng.permutation(len(target))
-        i, stop = 0, max(1, int(len(mix) * share))
-        while i < stop:
+@dataclass
+class Sequence:
+    """All tokens of some texts, every text's end included."""
+
+    target: np.ndarray  # class
+    before: np.ndarray
+    before2: np.ndarray
+    context: np.ndarray  # the words before as contexts of members
+    context2: np.ndarray
+    member: np.ndarray  # in its bucket, or -1 for a class of its own
+    ends: np.ndarray
+
+    def inner(self, at: np.ndarray, n_short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, members and buckets of those tokens that are in buckets."""
+        at = at[self.member[at] >= 0]
+        return self.context[at], self.context2[at], self.member[at], self.target[at] - n_short
+
+
+class Reader:
+    """From words' hashes to classes and members."""
+
+    def __init__(self, words: Words):
+        self.words, self.n_short = words, 1 + len(words.short)
+        self.short, self.class_of = Lookup(words.short.view(np.uint64)), np.argsort(words.short.view(np.uint64)) + 1
+        self.own, self.member_of = Lookup(words.own.view(np.uint64)), words.member[np.argsort(words.own.view(np.uint64))]
+
+    def sequence(self, h: np.ndarray, lead: np.ndarray, offsets: np.ndarray) -> Sequence:
+        n_texts = len(offsets) - 1
+        place = self.short.find(h)
+        own, member = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
+        own[place >= 0] = self.class_of[place[place >= 0]]
+        rare = np.flatnonzero(place < 0)
+        b = bucket(lead[rare], self.words.buckets)
+        own[rare] = self.n_short + b
+        inside = self.own.find(h[rare])
+        member[rare] = self.words.first[b]
+        member[rare[inside >= 0]] = self.member_of[inside[inside >= 0]]
+        at = np.arange(len(h)) + np.repeat(np.arange(n_texts), np.diff(offsets))
+        target, all_member = np.zeros(len(h) + n_texts, np.int64), np.full(len(h) + n_texts, -1, np.int64)
+        target[at], all_member[at] = own, member
+        context = np.where(all_member >= 0, self.n_short + all_member, target)
+        begin, ends = offsets[:-1] + np.arange(n_texts), offsets[1:] + np.arange(n_texts)
+        return Sequence(target, *earlier(target, begin), *earlier(context, begin), all_member, ends)
+
+
+def earlier(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two places before each in its text, or the end of a text."""
+    one, two = np.concatenate([[END], x[:-1]]), np.concatenate([[END, END], x[:-2]])[: len(x)]
+    if len(x):
+        one[begin] = two[begin] = END
+        later = begin + 1
+        two[later[later < len(x)]] = END
+    return one[: len(x)], two
+
+
+def in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, bool]]:
+    """shard, text in the order of shards -> pieces of ROWS texts of one shard, and whether a piece is its last one.
+
+    Pieces don't depend on how Spark cuts batches."""
+    shard, texts = None, []
+
+    def taken(n: int) -> pa.Array:
+        nonlocal texts
+        whole = pa.concat_arrays(texts)
+        texts = [whole.slice(n)] if len(whole) > n else []
+        return whole.slice(0, n)
+
+    for batch in batches:
+        of = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if shard is not None and of[a] != shard:
+                yield shard, taken(ROWS), True
+            shard = int(of[a])
+            texts.append(batch.column(1).slice(a, b - a))
+            while sum(map(len, texts)) > ROWS:
+                yield shard, taken(ROWS), False
+    if shard is not None:
+        yield shard, taken(ROWS), True
+
+
+def train_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model, rate: float, batch_tokens: int = 8192) -> Iterator[pa.RecordBatch]:
+    """For each shard the trained model in slices, and the number of its tokens."""
+    reader, hasher, t, done = Reader(words), WordHasher("space"), None, 0
+    for shard, texts, last in in_shards(batches):
+        if t is None:
+            t, done = Trainer(model, words, rate, samples=64, ratio=16, inner_ratio=5, seed=(11, shard)), 0
+        with np.errstate(over="ignore"):
+            h, rows, lead = hasher.words(texts)
+        s = reader.sequence(h, lead, runs(rows, len(texts)))
+        mix, i = t.rng.permutation(len(s.target)), 0
+        while i < len(mix):
             j = mix[i : i + (batch_tokens if done > 64 * 1024 else 1024)]  # small steps at first
-            t.step(before[j], before2[j], target[j])
+            t.step(s.before[j], s.before2[j], s.target[j])
+            t.step_in(*s.inner(j, reader.n_short))
             i, done = i + len(j), done + len(j)
-    if done:
-        for k, a in enumerate(t.m.arrays()):
-            values = a.astype(np.float64) * done
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(values.size, k, np.int32)), pa.array(np.arange(values.size, dtype=np.int32)), pa.array(values.ravel()), pa.array(np.full(values.size, done, np.int64))], names=["part", "cell", "value", "tokens"])
+        if last:
+            flat = t.m.flat().astype(np.float32)
+            for k in range(0, len(flat), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k // SLICE], pa.int32()), pa.array([flat[k : k + SLICE].tobytes()], pa.binary()), pa.array([done], pa.int64())], names=["shard", "slice", "cells", "tokens"])
+            t = None
+
+
+def averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean of one slice of all shards' models (at most as many as there are trainers), in the order of shards."""
+    rows = rows.sort_values("shard")
+    total = sum(np.frombuffer(c, np.float32).astype(np.float64) * n for c, n in zip(rows["cells"], rows["tokens"], strict=True))
+    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "cells": [(total / rows["tokens"].sum()).astype(np.float32).tobytes()]})
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_model double, rare array<long>"
 
 
 def score_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model) -> Iterator[pa.RecordBatch]:
-    short, order = short_lookup(words)
-    known = Lookup(words.known.view(np.uint64))
+    reader, known = Reader(words), Lookup(words.known.view(np.uint64))
     log_known = np.log10(words.counts[np.argsort(words.known.view(np.uint64))] + 1.0)
-    first_bucket = 1 + len(words.short)
     for part, h, lead, offsets in tokens(batches, 2):
         n = part.num_rows
-        target, before, before2, ends = sequence(h, lead, offsets, words, short, order)
-        log_p = model.log_probabilities(before, before2, target)
-        rare = target >= first_bucket
-        log_p[rare] -= words.log_bucket[target[rare] - first_bucket]
+        s = reader.sequence(h, lead, offsets)
+        log_p = model.log_probabilities(s.before, s.before2, s.target)
+        inside = np.flatnonzero(s.member >= 0)
+        context, context2, member, of = s.inner(inside, reader.n_short)
+        log_p[inside] += model.log_members(context, context2, member, of, words.first)
+        rest = np.zeros(len(s.target), bool)
+        rest[inside] = member == words.first[of]
+        log_p[rest] -= words.log_rest[s.target[rest] - reader.n_short]
         place = known.find(h)
         log_c = np.where(place >= 0, log_known[place], 0.0) if len(log_known) else np.zeros(len(h))
         of_text = np.repeat(np.arange(n), np.diff(offsets))
-        word_rare = np.delete(rare, ends)
-        log_model = np.bincount(np.repeat(np.arange(n), np.diff(offsets) + 1), log_p, n) + np.bincount(of_text[word_rare], log_c[word_rare], n)
+        word_rest = np.delete(rest, s.ends)
+        log_model = np.bincount(np.repeat(np.arange(n), np.diff(offsets) + 1), log_p, n) + np.bincount(of_text[word_rest], log_c[word_rest], n)
         log_counts = np.bincount(of_text, log_c, n) + math.log10(words.end_count + 1)
         n_known = np.bincount(of_text, place >= 0, n).astype(np.int64) + int(words.end_count > 0)
         left = np.flatnonzero(place < 0)
@@ -235,39 +379,60 @@ def most_frequent(counts: DataFrame, known: int) -> pd.DataFrame:
     return rows.toPandas().sort_values(["n", "word"], ascending=[False, True])
 
 
-def scores(docs: DataFrame, held_out: Column, classes: int = 512, buckets: int = 256, known: int = 300_000, dim: int = 16, rounds: tuple[tuple[float, float], ...] = ((0.1, 0.05), (0.05, 1.0))) -> DataFrame:
+def upto(counts: DataFrame, chosen: pd.DataFrame) -> Column:
+    """Whether a word is one of the chosen (the most frequent ones, in order)."""
+    if not len(chosen):
+        return F.lit(False)
+    least = chosen.iloc[-1]
+    return (F.col("n") > int(least["n"])) | ((F.col("n") == int(least["n"])) & (F.col("word") <= int(least["word"])))
+
+
+def vocabulary(counts: DataFrame, n_texts: int, n_words: int, classes: int, buckets: int, known: int, most_words: int) -> Words:
+    frequent = most_frequent(counts, known)
+    short = frequent.head(classes - 1)
+    own = frequent.iloc[len(short) : len(short) + min(most_words, math.isqrt(max(0, n_words)))].sort_values("bucket", kind="stable")
+    mass = {r.bucket: (r.n, r.v) for r in counts.where(~upto(counts, frequent.head(len(short) + len(own)))).groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    rest = np.array([mass.get(b, (0, 0)) for b in range(buckets)], np.float64)
+    of, n = own["bucket"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
+    sizes = np.bincount(of, minlength=buckets) + 1
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    member = np.arange(len(own)) + of + 1  # behind the rest of each bucket up to its own
+    weight = np.empty(first[-1])
+    weight[first[:-1]], weight[member] = rest[:, 0] + 1.0, n + 1.0
+    in_bucket = np.add.reduceat(weight, first[:-1])
+    outer = np.concatenate([[n_texts + 1.0], short["n"].to_numpy(np.float64) + 1.0, in_bucket])
+    return Words(short["word"].to_numpy(np.int64), own["word"].to_numpy(np.int64), member, first, frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.float64), n_texts, buckets, np.log10(rest.sum(1) + 1), outer / outer.sum(), weight / np.repeat(in_bucket, sizes))
+
+
+def trained(texts: DataFrame, words: Words, n_tokens: int, dim: int, rounds: tuple[tuple[float, int], ...], shard_tokens: int, trainers: int) -> Model:
+    """The model after all rounds of training on the texts."""
+    model, n = Model.start(words, dim), max(1, min(trainers, -(-n_tokens // shard_tokens)))
+    dealt = texts.select(F.xxhash64("text", "doc_id").alias("order"), "text")
+    for rate, every in rounds:
+        shards = max(1, n // every)
+        chosen = dealt.where(F.pmod("order", F.lit(every)) == 0).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)).cast("int"))
+        chosen = chosen.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "text")
+        copies = chosen.mapInArrow(lambda it, m=model, r=rate: train_rows(it, words, m, r), "shard int, slice int, cells binary, tokens long")
+        found = copies.groupBy("slice").applyInPandas(averaged, "slice int, cells binary").toPandas().sort_values("slice")
+        if len(found):
+            model = model.like(np.frombuffer(b"".join(found["cells"]), np.float32))
+    return model
+
+
+def scores(docs: DataFrame, held_out: Column, classes: int = 512, buckets: int = 256, known: int = 300_000, dim: int = 16, rounds: tuple[tuple[float, int], ...] = ((0.1, 16), (0.05, 1)), most_words: int = 65_536, shard_tokens: int = 4_000_000, trainers: int = 1024) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of the whole texts.
 
-    ``rounds``: learning rate, and the share of its texts' tokens that a task trains on, for each round of training."""
+    ``rounds``: for each round of training the learning rate, and of how many texts one is trained on (the last round takes all)."""
     ship(__name__, WordHasher.__module__)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    train = rows.where(~F.col("held_out")).select("text")
-    partial = train.mapInArrow(lambda it: count_rows(it, buckets), "word long, bucket int, n long, texts long")
+    train = rows.where(~F.col("held_out")).select("doc_id", "text")
+    partial = train.select("text").mapInArrow(lambda it: count_rows(it, buckets), "word long, bucket int, n long, texts long")
     counts = keep(partial.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")))
     n_texts = train.count()
-    frequent = most_frequent(counts, known)
-    short = frequent.head(classes - 1)
-    least = short.tail(1)
-    in_short = (F.col("n") > int(least["n"].iloc[0])) | ((F.col("n") == int(least["n"].iloc[0])) & (F.col("word") <= int(least["word"].iloc[0]))) if len(least) else F.lit(False)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v = total.n + n_texts, total.v + (1 if n_texts else 0)
-    mass = {r.bucket: (r.n, r.v) for r in counts.where(~in_short).groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    of_bucket = np.array([mass.get(b, (0, 0)) for b in range(buckets)], np.float64)
-    weight = np.concatenate([[n_texts], short["n"].to_numpy(np.float64), of_bucket[:, 0]]) + 1.0
-    words = Words(short["word"].to_numpy(np.int64), frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.float64), n_texts, buckets, np.log10(of_bucket.sum(1) + 1), weight / weight.sum())
-    model = Model.start(words.noise, dim)
-    sizes = [a.shape for a in model.arrays()]
-    for rate, share in rounds:
-        copies = train.mapInArrow(lambda it, m=model, r=rate, s=share: train_rows(it, words, m, r, s), "part int, cell int, value double, tokens long")
-        cells = copies.groupBy("part", "cell").agg((F.sum("value") / F.sum("tokens")).alias("value")).toPandas()  # as many as the model has
-        if not len(cells):
-            break
-        fresh = [np.zeros(s[0] * s[1], np.float32) for s in sizes]
-        for k, a in enumerate(fresh):
-            own = cells[cells["part"] == k]
-            a[own["cell"].to_numpy()] = own["value"].to_numpy()
-        fresh = [a.reshape(s) for a, s in zip(fresh, sizes, strict=True)]
-        model = Model(fresh[0], fresh[1], fresh[2], fresh[3][:, 0])
+    words = vocabulary(counts, n_texts, total.n, classes, buckets, known, most_words)
+    model = trained(train, words, n_all, dim, rounds, shard_tokens, trainers)
     found = rows.mapInArrow(lambda it: score_rows(it, words, model), SCORED).withColumn("row", F.monotonically_increasing_id())
     found = keep(found)
     rare = found.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")

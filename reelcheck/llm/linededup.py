@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, sent
+from .common import fresh, keep, sent
 
 #: Up to so many documents' deleted line numbers go to all executors instead of the texts around.
 BROADCAST_DOCS = 300_000
@@ -93,18 +93,20 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_words: int = 50, count: str = "n_deleted") -> DataFrame:
     """docs with the later copies of repeated runs deleted from the text, and one more column: how many lines were."""
-    gone = later_copies(docs, min_words).groupBy("doc_id", "key").agg(F.collect_list("line").alias("_lines"))
-    gone = keep(gone.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_lines"))
-    rows = docs.join(sent(gone, BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda t, i: ~F.array_contains("_lines", i))
-    changed = rows.withColumns({count: F.coalesce(F.size("_lines"), F.lit(0)), "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))})
+    of, key, numbers = (fresh(n, docs) for n in ("_doc", "_key", "_lines"))
+    gone = later_copies(docs, min_words).groupBy("doc_id", "key").agg(F.collect_list("line").alias("numbers"))
+    gone = keep(gone.toDF(of, key, numbers))
+    rows = docs.join(sent(gone, BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key)), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda t, i: ~F.array_contains(numbers, i))
+    changed = rows.withColumns({count: F.coalesce(F.size(numbers), F.lit(0)), "text": F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))})
     return changed.select(*[c for c in docs.columns if c != count], count)
 
 
 def clean(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The documents without later copies, all columns otherwise as they were; those of which nothing is left go."""
-    left = deduplicated(docs, min_words, "_n_deleted")
-    return left.where((F.col("_n_deleted") == 0) | F.col("text").rlike(WORD)).drop("_n_deleted")
+    n = fresh("_n_deleted", docs)
+    left = deduplicated(docs, min_words, n)
+    return left.where((F.col(n) == 0) | F.col("text").rlike(WORD)).drop(n)
 
 
 #: An independent form of the same result: all pairs of equal lines, joined to runs along their diagonals.

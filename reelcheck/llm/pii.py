@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 #: What is looked for, in the order of precedence.
 PATTERNS = {
@@ -193,14 +195,19 @@ def pseudonym(s: Column, key: str) -> Column:
     return F.coalesce(*[F.when(whole(k), f(s, key)) for k, f in KINDS.items()])
 
 
-def pseudonymise(docs: DataFrame, key: str = "pseudonyms", text: str = "text", count: str = "n_found") -> DataFrame:
-    """docs with personal data in the text column replaced, and one more column: how many values were."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_found") -> DataFrame:
+    """docs with personal data in the text column replaced, and one more column: how many values were.
+
+    Who has the key can undo the pseudonyms, so there is none by default; an empty one is refused."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    own = fresh("_pairs", docs)
     c = F.col(text)
     found = F.regexp_extract_all(c, F.lit(ANY), F.lit(0))
     pairs = F.transform(found, lambda s: F.struct(s.alias("old"), pseudonym(s, key).alias("new")))
-    rows = docs.withColumn("_pairs", F.when(c.rlike(HINT), pairs))
+    rows = docs.withColumn(own, F.when(c.rlike(HINT), pairs))
     gaps = F.split(c, ANY, -1)
-    put = F.transform(F.col("_pairs"), lambda x, i: F.concat(F.coalesce(x["new"], x["old"]), F.get(gaps, i + 1)))
-    changed = F.when(F.size("_pairs") > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(put, ""))).otherwise(c)
-    n = F.coalesce(F.size(F.filter("_pairs", lambda x: x["new"].isNotNull())), F.lit(0))
-    return rows.withColumns({count: F.when(F.col("_pairs").isNull(), 0).otherwise(n), text: changed}).drop("_pairs")
+    put = F.transform(F.col(own), lambda x, i: F.concat(F.coalesce(x["new"], x["old"]), F.get(gaps, i + 1)))
+    changed = F.when(F.size(own) > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(put, ""))).otherwise(c)
+    n = F.coalesce(F.size(F.filter(own, lambda x: x["new"].isNotNull())), F.lit(0))
+    return rows.withColumns({count: F.when(F.col(own).isNull(), 0).otherwise(n), text: changed}).drop(own)

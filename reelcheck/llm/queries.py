@@ -51,8 +51,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(rows.unionByName(more)))
 
 
+#: The key of the query's pseudonyms is a secret of the session; without one the tables are taken to be a demonstration.
+KEY_SETTING, DEMONSTRATION = "spark.reelcheck.pseudonyms.key", "demonstration"
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, DEMONSTRATION))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
