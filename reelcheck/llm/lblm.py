@@ -4,7 +4,7 @@ Words are predicted in two steps.  The most frequent ones are classes of their o
 other word belongs to one of ``buckets`` classes by its first two bytes.  A log-bilinear model gives the probability of a
 word's class from the two tokens before it: the context vectors of either position are added, and a class's score is
 the product with its vector, plus its bias.  Within a bucket a second log-bilinear model, with vectors for each word as target and as
-context, tells the bucket's own words apart; there are as many of these as the square root of the number of training tokens
+context, tells the bucket's own words apart; there are half as many of these as the square root of the number of training tokens
 (up to ``most_words``), so the vocabulary that context tells apart grows with the corpus.  What is rarer shares one member of
 its bucket, and a word has its share (c + 1) of that member's counts, unknown words together one more.  So the probabilities of all
 known words and of an unknown one in each bucket sum to one.
@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, ship
-from .textbytes import Lookup, WordHasher, mixed, runs
+from .textbytes import Lookup, WordHasher, mixed, runs, trim
 
 #: Texts that are worked on at once, and cells of the model that are averaged at once.
-ROWS, SLICE = 1024, 1 << 16
+ROWS, SLICE = 512, 1 << 16
 END = 0
 
 
@@ -194,8 +194,9 @@ class Trainer:
         place = np.empty(len(a), np.int64)
         place[own] = np.arange(len(own))
         g = (spread(place[rows], values, len(own)) / n).astype(np.float32)
-        s[own] += g * g
-        a[own] -= self.rate * g / np.sqrt(s[own])
+        square = s[own] + g * g
+        s[own] = square
+        a[own] -= self.rate * g / np.sqrt(square)
 
 
 def spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -216,6 +217,7 @@ def tokens(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
                 part = batch.slice(at, ROWS)
                 h, rows, lead = hasher.words(part.column(text))
                 yield part, h, lead, runs(rows, part.num_rows)
+            trim()
 
 
 def count_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -313,7 +315,7 @@ def train_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model, ra
     reader, hasher, t, done = Reader(words), WordHasher("space"), None, 0
     for shard, texts, last in in_shards(batches):
         if t is None:
-            t, done = Trainer(model, words, rate, samples=64, ratio=16, inner_ratio=5, seed=(11, shard)), 0
+            t, done = Trainer(model, words, rate, samples=64, ratio=16, inner_ratio=3, seed=(11, shard)), 0
         with np.errstate(over="ignore"):
             h, rows, lead = hasher.words(texts)
         s = reader.sequence(h, lead, runs(rows, len(texts)))
@@ -323,6 +325,7 @@ def train_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model, ra
             t.step(s.before[j], s.before2[j], s.target[j])
             t.step_in(*s.inner(j, reader.n_short))
             i, done = i + len(j), done + len(j)
+        trim()
         if last:
             flat = t.m.flat().astype(np.float32)
             for k in range(0, len(flat), SLICE):
@@ -390,7 +393,7 @@ def upto(counts: DataFrame, chosen: pd.DataFrame) -> Column:
 def vocabulary(counts: DataFrame, n_texts: int, n_words: int, classes: int, buckets: int, known: int, most_words: int) -> Words:
     frequent = most_frequent(counts, known)
     short = frequent.head(classes - 1)
-    own = frequent.iloc[len(short) : len(short) + min(most_words, math.isqrt(max(0, n_words)))].sort_values("bucket", kind="stable")
+    own = frequent.iloc[len(short) : len(short) + min(most_words, math.isqrt(max(0, n_words)) // 2)].sort_values("bucket", kind="stable")
     mass = {r.bucket: (r.n, r.v) for r in counts.where(~upto(counts, frequent.head(len(short) + len(own)))).groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     rest = np.array([mass.get(b, (0, 0)) for b in range(buckets)], np.float64)
     of, n = own["bucket"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
@@ -404,13 +407,21 @@ def vocabulary(counts: DataFrame, n_texts: int, n_words: int, classes: int, buck
     return Words(short["word"].to_numpy(np.int64), own["word"].to_numpy(np.int64), member, first, frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.float64), n_texts, buckets, np.log10(rest.sum(1) + 1), outer / outer.sum(), weight / np.repeat(in_bucket, sizes))
 
 
+def own_partitions(df: DataFrame, n: int) -> list[int]:
+    """n numbers that Spark's hash deals to n partitions, one to each."""
+    rows = df.sparkSession.range(0, 32 * n + 64, 1, 1).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect()
+    found = {r.p: r.v for r in rows}
+    return [found.get(p, 32 * n + 64 + p) for p in range(n)]
+
+
 def trained(texts: DataFrame, words: Words, n_tokens: int, dim: int, rounds: tuple[tuple[float, int], ...], shard_tokens: int, trainers: int) -> Model:
     """The model after all rounds of training on the texts."""
     model, n = Model.start(words, dim), max(1, min(trainers, -(-n_tokens // shard_tokens)))
     dealt = texts.select(F.xxhash64("text", "doc_id").alias("order"), "text")
     for rate, every in rounds:
         shards = max(1, n // every)
-        chosen = dealt.where(F.pmod("order", F.lit(every)) == 0).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)).cast("int"))
+        labels = own_partitions(texts, shards)
+        chosen = dealt.where(F.pmod("order", F.lit(every)) == 0).withColumn("shard", F.element_at(F.array(*map(F.lit, labels)), F.pmod(F.xxhash64("order"), F.lit(shards)).cast("int") + 1))
         chosen = chosen.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "text")
         copies = chosen.mapInArrow(lambda it, m=model, r=rate: train_rows(it, words, m, r), "shard int, slice int, cells binary, tokens long")
         found = copies.groupBy("slice").applyInPandas(averaged, "slice int, cells binary").toPandas().sort_values("slice")

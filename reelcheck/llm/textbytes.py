@@ -8,6 +8,8 @@ length of a text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -136,6 +138,14 @@ def runs(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n + 1))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, which the C library of Linux else keeps for the process."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 class Lookup:
     """Places of 64-bit keys in a table: one probe for most, a binary search for those whose slot another key has."""
 
