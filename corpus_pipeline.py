@@ -6,7 +6,7 @@ near_duplicates     one document of each group of near-duplicates stays (5-word
 decontamination     documents with a 10-word window of a benchmark item go
 mixing              every document that is left, with the words that the mix takes of it
 
-Documents with a null id are handed through by the stages that drop by id.
+Every stage judges rows by their own text, so rows that share an id, or have none, stay or go one by one.
 """
 
 from __future__ import annotations

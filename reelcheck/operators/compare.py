@@ -56,8 +56,10 @@ def pair_cells(kind: str, t: Tolerances) -> str:
     return f"array({', '.join(cells)})"
 
 
-def compare(pairs: DataFrame, tolerances: Tolerances = Tolerances(), key: str = "pair_id") -> DataFrame:
-    """key, a, b (inspections with their streams) -> one row per field: scope, field, left, right, state, kind. No shuffle."""
+def arrays(pairs: DataFrame, tolerances: Tolerances = Tolerances(), key: str = "pair_id") -> DataFrame:
+    """key, a, b (inspections with their streams) -> key and ``cells``, the array of all compared fields. No shuffle.
+
+    A generator of one row keeps the cells' expressions from being copied into what follows."""
     t, c = tolerances, "'container'"
     bits = "cast({}.container.bitrate_bps AS double)"
     x, y = bits.format("a"), bits.format("b")
@@ -70,7 +72,19 @@ def compare(pairs: DataFrame, tolerances: Tolerances = Tolerances(), key: str =
         side = lambda v: f"transform({of(v)}, s -> named_struct('s', s, 'm', {measured.format(v)}))"  # noqa: B023, E731
         zipped = f"transform(slice(arrays_zip({side('a')}, {side('b')}), 1, least(size({of('a')}), size({of('b')}))), (z, i) -> named_struct('i', i, 's0', z.`0`.s, 'm0', z.`0`.m, 's1', z.`1`.s, 'm1', z.`1`.m))"
         found.append(f"flatten(transform({zipped}, p -> {pair_cells(kind, t)}))")
-    return pairs.select(key, F.explode(F.expr(f"concat({', '.join(found)})")).alias("c")).select(key, "c.*")
+    return pairs.select(key, F.inline(F.array(F.struct(F.expr(f"concat({', '.join(found)})").alias("cells")))))
+
+
+def compare(pairs: DataFrame, tolerances: Tolerances = Tolerances(), key: str = "pair_id") -> DataFrame:
+    """One row per field: key, scope, field, left, right, state, kind."""
+    return arrays(pairs, tolerances, key).select(key, F.inline("cells"))
+
+
+def row_summary(rows: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Differences, equal and unmeasured fields, and the worst kind of difference, counted within the row."""
+    n = lambda state: F.expr(f"cast(size(filter(cells, c -> c.state = '{state}')) AS bigint)")
+    worst = "CASE WHEN exists(cells, c -> c.state = 'different' AND c.kind = 'major') THEN 'major' WHEN exists(cells, c -> c.state = 'different') THEN 'minor' ELSE 'none' END"
+    return rows.select(key, n("different").alias("n_different"), n("same").alias("n_same"), n("unmeasured").alias("n_unmeasured"), F.expr(worst).alias("worst"))
 
 
 def summary(cells: DataFrame, key: str = "pair_id") -> DataFrame:

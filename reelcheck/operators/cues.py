@@ -35,6 +35,29 @@ def cue_content(cues: DataFrame) -> DataFrame:
     return rows.groupBy("asset_id").agg(F.max(longest).alias("max_line_chars"), F.max(F.size("lines")).alias("max_lines_per_cue"), F.count_if(F.size("lines") == 0).alias("n_empty"))
 
 
+def cue_ranges(cues: DataFrame) -> DataFrame:
+    """asset_id, is_text, start_ms, end_ms, payload -> all that the subtitle rules read of a stream, ranges included.
+
+    Null payloads of text streams are malformed. Lists are as long as the cues that are wrong, of the first 100,000."""
+    rows = cue_rows(cues)
+    span = lambda a, b: F.struct(F.col(a).cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
+    end, nxt, text = F.col("end_ms"), F.col("next"), F.col("is_text")
+    collect = lambda when, what: F.array_sort(F.collect_list(F.when(when, what)))
+    shown = F.size("lines")
+    return rows.groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("cue_count"),
+        collect(end <= F.col("start_ms"), span("start_ms", F.col("start_ms"))).alias("invalid_durations"),
+        collect(end > nxt, span("start_ms", F.least(end, nxt))).alias("overlaps"),
+        collect(text & F.col("payload").isNull(), span("start_ms", end)).alias("malformed"),
+        collect(text & F.col("payload").isNotNull() & (shown == 0), span("start_ms", end)).alias("empty_cues"),
+        F.max(F.when(end <= nxt, nxt - end)).alias("max_gap_ms"),
+        F.max(F.when(text, F.coalesce(F.array_max(F.transform("lines", F.length)), F.when(F.col("payload").isNotNull(), 0)))).alias("max_line_chars"),
+        F.max(F.when(text & F.col("payload").isNotNull(), shown)).alias("max_lines_per_cue"),
+        F.max(F.greatest(end - F.col("start_ms"), F.lit(0))).alias("max_cue_duration_ms"),
+        F.max("end_ms").alias("covered_until_ms"),
+    )
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words without the marks around them."""
     bare = F.transform(F.split(F.regexp_replace(text, "’", "'"), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))

@@ -52,9 +52,11 @@ def noise(a: np.ndarray) -> float | None:
     return float(np.sqrt((rest**2).mean())) if len(rest) >= NOISE_SAMPLES else None
 
 
-def reduced(a: np.ndarray, most: float = 2.5e6) -> np.ndarray:
-    """Means over squares, so that no more than so many pixels are left; what doesn't fill a square is cut off."""
-    n = min(4, max(1, int(np.ceil(np.sqrt(a.size / most)))))
+def reduced(a: np.ndarray, most: float = 2.5e6, least: int = 16) -> np.ndarray:
+    """Means over squares, so that no more than so many pixels are left; what doesn't fill a square is cut off.
+
+    The squares get no larger than leaves ``least`` pixels along either side."""
+    n = min(4, max(1, int(np.ceil(np.sqrt(a.size / most)))), max(1, min(a.shape) // least))
     h, w = a.shape[0] // n * n, a.shape[1] // n * n
     return a if n == 1 else np.floor(a[:h, :w].reshape(h // n, n, w // n, n).mean((1, 3)))
 
@@ -115,36 +117,118 @@ def clusters(cells: DataFrame) -> DataFrame:
     return cells.groupBy("asset_id").applyInPandas(lambda rows: cluster(rows), "asset_id long, x long, y long, width long, height long, cells long, kind string")
 
 
-def transitions(levels: np.ndarray, least: float, darker: float, share: float) -> list[tuple[int, int]]:
-    """(frame, direction) at which enough cells of the picture changed by ``least`` against their last extreme; only changes of direction.
-
-    levels: frames x cells, relative luminance 0..1; one side of a change must be below ``darker``."""
-    needed = max(1, int(np.ceil(share * 341 * 256 / (1024 * 768) * levels.shape[1])))
-    low, high, going = levels[0].copy(), levels[0].copy(), np.zeros(levels.shape[1], int)
-    out: list[tuple[int, int]] = []
-    for i, now in enumerate(levels[1:], 1):
-        low, high = np.where(going <= 0, np.minimum(low, now), low), np.where(going >= 0, np.maximum(high, now), high)
-        up = (going <= 0) & (now - low >= least) & (low < darker)
-        down = (going >= 0) & (high - now >= least) & (now < darker) & ~up
-        going = np.where(up, 1, np.where(down, -1, going))
-        high, low = np.where(up, now, high), np.where(down, now, low)
-        for direction, n in ((1, up.sum()), (-1, down.sum())):
-            if n >= needed and (not out or out[-1][1] != direction):
-                out.append((i, direction))
+#: Fixed values of the flash test: smallest swing of relative luminance and of the red measure, level that the darker side of
+#: a swing must stay below, share of red that is saturated, part of the picture that must swing (a quarter of 341 x 256 of 1024 x 768),
+#: the largest grid, sample points of a cell along an axis, and changes that are kept of a class.
+SWING, RED_SWING, DARKER, SATURATED, AREA = 0.1, 20.0, 0.8, 0.8, 0.25 * (341.0 * 256.0) / (1024.0 * 768.0)
+GRID, POINTS, MOST_CHANGES = (128, 96), 3, 200_000
+
+
+class Swings:
+    """What each cell of a grid has been doing: the end of its last swing, or how far it went on since, and which way."""
+
+    def __init__(self, least: float, darker: float | None):
+        self.least, self.darker = np.float32(least), None if darker is None else np.float32(darker)
+        self.end: np.ndarray | None = None
+        self.way: np.ndarray | None = None
+
+    def step(self, now: np.ndarray) -> tuple[int, int]:
+        """How many cells swung up and down in this frame. A cell that never swung is compared with its first value."""
+        now = now.astype(np.float32)
+        if self.end is None or len(self.end) != len(now):
+            self.end, self.way = now, np.zeros(len(now), np.int8)
+            return 0, 0
+        up = (now - self.end >= self.least) & (self.way <= 0)
+        down = (self.end - now >= self.least) & (self.way >= 0)
+        counts = np.ones(len(now), bool) if self.darker is None else np.minimum(self.end, now) < self.darker
+        further = (self.way > 0) & (now > self.end) | (self.way < 0) & (now < self.end)
+        self.end = np.where(up | down | further, now, self.end)
+        self.way = np.where(up, 1, np.where(down, -1, self.way)).astype(np.int8)
+        return int((up & counts).sum()), int((down & counts).sum())
+
+
+def transitions(levels: list[np.ndarray], least: float, darker: float | None, share: float = AREA) -> list[tuple[int, int]]:
+    """(frame, direction) at which enough cells swung the same way; where both ways had enough, the one with more (up if equal).
+
+    Changes in the direction of the one before go on with it. A frame whose grid has another size starts the cells anew."""
+    cells, out, last = Swings(least, darker), [], 0
+    size = None
+    for i, now in enumerate(levels):
+        if size != len(now):
+            size, last = len(now), 0
+        needed = max(1, int(np.ceil(share * len(now))))
+        up, down = cells.step(now)
+        way = 0
+        if up >= needed or down >= needed:
+            way = 1 if up >= needed and (down < needed or up >= down) else -1
+        if way and way != last:
+            last = way
+            if len(out) < MOST_CHANGES:
+                out.append((i, way))
     return out
 
 
-def transition_rows(rows: pd.DataFrame, least: float, darker: float, share: float) -> pd.DataFrame:
+def planes_to_grid(y: np.ndarray, cb: np.ndarray | None, cr: np.ndarray | None, sd: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Relative luminance and red measure of each cell of a grid, from planes of studio-range video in 8-bit scale.
+
+    A cell is the mean of POINTS x POINTS places spread over it. Chroma planes may be smaller; without them the picture is grey."""
+    h, w = y.shape
+    places = []
+    for n, size in ((min(GRID[1], h), h), (min(GRID[0], w), w)):
+        first = np.arange(n) * size // n
+        width = np.maximum((np.arange(n) + 1) * size // n, first + 1) - first
+        places.append(np.minimum(first[:, None] + width[:, None] * (2 * np.arange(POINTS) + 1) // (2 * POINTS), size - 1).ravel())
+    rows, cols = places
+    luma = (y[np.ix_(rows, cols)] - 16.0) / 219.0
+    if cb is None or cr is None:
+        pb = pr = np.zeros_like(luma)
+    else:
+        at = np.ix_(rows // -(-h // cb.shape[0]), cols // -(-w // cb.shape[1]))
+        pb, pr = (cb[at] - 128.0) / 224.0, (cr[at] - 128.0) / 224.0
+    kr, kb = (0.299, 0.114) if sd else (0.2126, 0.0722)
+    r, b = luma + 2 * (1 - kr) * pr, luma + 2 * (1 - kb) * pb
+    g = (luma - kr * r - kb * b) / (1 - kr - kb)
+    r, g, b = (np.clip(v, 0.0, 1.0) ** 2.2 for v in (r, g, b))
+    total = r + g + b
+    red = np.where((total > 0) & (r >= SATURATED * total), np.maximum(r - g - b, 0.0) * 320.0, 0.0)
+    cell = lambda v: v.reshape(len(rows) // POINTS, POINTS, len(cols) // POINTS, POINTS).mean((1, 3)).ravel().astype(np.float32)
+    return cell(0.2126 * r + 0.7152 * g + 0.0722 * b), cell(red)
+
+
+def grid_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = []
+        for y, cb, cr, w, h, cw in zip(b["luma"], b["cb"], b["cr"], b["width"], b["height"], b["chroma_width"], strict=True):
+            chroma = [np.asarray(v, float).reshape(-1, int(cw)) if v is not None and len(v) else None for v in (cb, cr)]
+            found.append(planes_to_grid(np.asarray(y, float).reshape(h, w), *chroma, sd=h <= 576))
+        yield pd.DataFrame({"asset_id": b["asset_id"], "frame": b["frame"], "ts": b["ts"], "luminance": [f[0] for f in found], "red": [f[1] for f in found]})
+
+
+def flash_grid(frames: DataFrame) -> DataFrame:
+    """asset_id, frame, ts, width, height, luma[, cb, cr, chroma_width] -> grids of relative luminance and of the red measure, row by row."""
+    more = {"cb": "array<int>", "cr": "array<int>", "chroma_width": "int"}
+    rows = frames.select("asset_id", "frame", "ts", "width", "height", "luma", *[F.col(c) if c in frames.columns else F.lit(None).cast(t).alias(c) for c, t in more.items()])
+    return rows.mapInPandas(grid_rows, "asset_id long, frame long, ts long, luminance array<float>, red array<float>")
+
+
+def transition_rows(rows: pd.DataFrame, least: float, darker: float | None, share: float) -> pd.DataFrame:
     rows = rows.sort_values(["ts", "frame"])
-    levels = (np.stack([np.asarray(v, float) for v in rows["luma"]]) / 255) ** 2.2
-    found = transitions(levels, least, darker, share)
-    ts = rows["ts"].to_numpy()
-    return pd.DataFrame({"asset_id": np.full(len(found), rows["asset_id"].iloc[0], np.int64), "ts": [int(ts[i]) for i, _ in found], "direction": [d for _, d in found]})
+    ts, out = rows["ts"].to_numpy(), []
+    for kind, column, swing, limit in (("general", "luminance", least, darker), ("red", "red", RED_SWING, None)):
+        out += [(int(rows["asset_id"].iloc[0]), kind, int(ts[i]), way) for i, way in transitions([np.asarray(v, np.float32) for v in rows[column]], swing, limit, share)]
+    return pd.DataFrame(out, columns=["asset_id", "kind", "ts", "direction"])
 
 
-def flash_transitions(frames: DataFrame, least: float = 0.1, darker: float = 0.8, share: float = 0.25) -> DataFrame:
-    """asset_id, ts, direction: luminance transitions of large parts of the picture, from grids of cells in the order of time."""
-    return frames.select("asset_id", "frame", "ts", "luma").groupBy("asset_id").applyInPandas(lambda r: transition_rows(r, least, darker, share), "asset_id long, ts long, direction int")
+def flash_transitions(grids: DataFrame, least: float = SWING, darker: float | None = DARKER, share: float = AREA) -> DataFrame:
+    """asset_id, kind (general or red), ts, direction: changes of large parts of the picture, from grids in the order of time.
+
+    The state of the cells runs along a stream, so one stream's grids (at most 128 x 96 cells a frame) are the bound of a group."""
+    return grids.select("asset_id", "frame", "ts", "luminance", "red").groupBy("asset_id").applyInPandas(lambda r: transition_rows(r, least, darker, share), "asset_id long, kind string, ts long, direction int")
+
+
+def frame_hash(frames: DataFrame) -> DataFrame:
+    """The frames with the ``hash`` of their picture, by which duplicates are found."""
+    return frames.withColumn("hash", F.xxhash64("width", "height", "luma"))
 
 
 def biquads(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -159,13 +243,33 @@ def biquads(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     return [shelf, (np.array([1.0, -2.0, 1.0]), np.array([2 * (k * k - 1), 1 - k / q + k * k]) / a0)]
 
 
+def filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray, block: int = 256) -> np.ndarray:
+    """A second-order recurrence over a signal, block by block.
+
+    Within a block the answer is linear in its input and in the two outputs before it, so one matrix product gives all blocks'
+    answers to their own input, and only the two carried outputs run on from block to block."""
+    n = len(x)
+    x = np.concatenate([np.zeros(2), x, np.zeros(-n % block)])
+    fed = (b[0] * x[2:] + b[1] * x[1:-1] + b[2] * x[:-2]).reshape(-1, block)
+    pulse = np.zeros(block + 2)  # answer of the recurrence alone to one pulse
+    pulse[2] = 1.0
+    for i in range(3, block + 2):
+        pulse[i] = -a[0] * pulse[i - 1] - a[1] * pulse[i - 2]
+    h = pulse[2:]
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    own = fed @ np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0).T
+    before = np.concatenate([[0.0], h[:-1]])
+    by_last, by_second = -a[0] * h - a[1] * before, -a[1] * h  # answers to the output before the block, and to the one before that
+    y1 = y2 = 0.0
+    for k in range(len(own)):
+        own[k] += by_last * y1 + by_second * y2
+        y1, y2 = own[k, -1], own[k, -2]
+    return own.ravel()[:n]
+
+
 def k_weighted(x: np.ndarray, rate: float) -> np.ndarray:
     for b, a in biquads(rate):
-        y, x1, x2, y1, y2 = np.empty(len(x)), 0.0, 0.0, 0.0, 0.0
-        for i, v in enumerate(x):
-            y[i] = b[0] * v + b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
-            x1, x2, y1, y2 = v, x1, y[i], y1
-        x = y
+        x = filtered(np.asarray(x, float), b, a)
     return x
 
 

@@ -50,10 +50,13 @@ def silence_segments(samples: DataFrame, threshold: float, most: int = 65_536) -
 
 
 def luma_stats(frames: DataFrame) -> DataFrame:
-    """Extremes, mean (of thousandths) and shares out of the legal range: one partial and one final aggregate."""
-    v = F.col("mean")
-    share = lambda c: (F.count_if(c) / F.count(F.lit(1)))
-    return frames.groupBy("asset_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(F.round(v * 1000).cast("long")) / F.count(F.lit(1)) / 1000).alias("mean"), share(v < 16).alias("below_legal"), share(v > 235).alias("above_legal"), share(v >= 255).alias("clipped_white"))
+    """Extremes, mean and shares out of the legal range over all pixels of all frames (asset_id, luma).
+
+    Each frame is folded within its row to counts and sums, which merge by one pre-aggregated sum; pixels are never rows."""
+    n = lambda c: F.size(F.filter("luma", c)).cast("long")
+    rows = frames.select("asset_id", F.size("luma").cast("long").alias("n"), F.array_min("luma").alias("lo"), F.array_max("luma").alias("hi"), F.expr("aggregate(luma, 0L, (a, v) -> a + v)").alias("total"), n(lambda v: v < 16).alias("below"), n(lambda v: v > 235).alias("above"), n(lambda v: v >= 255).alias("white")).where("n > 0")
+    share = lambda c: (F.sum(c) / F.sum("n")).alias({"below": "below_legal", "above": "above_legal", "white": "clipped_white"}[c])
+    return rows.groupBy("asset_id").agg(F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("total") / F.sum("n")).alias("mean"), share("below"), share("above"), share("white"))
 
 
 def observed_rate(frames: DataFrame) -> DataFrame:

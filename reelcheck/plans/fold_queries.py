@@ -11,7 +11,7 @@ from ..operators import compare as cmp
 from ..operators import correct, fold, state
 from ..profiles import model
 from ..reports import report
-from ..rules.compiler import RULE_IDS, findings
+from ..rules.compiler import RULE_IDS, arrays, findings
 from ..sources import bindings as b
 from . import rule_queries as r
 
@@ -29,47 +29,39 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-#: The SQL of the five folds covers the rules of these groups only; the queries run all rules, so SQL lacks the video rules' part of their results.
-GROUPS = ("container", "audio", "subtitle", "voice")
-IDS = [i for i in RULE_IDS if i.split(".")[0] in GROUPS]
+IDS = RULE_IDS
 ALL = r.PRELUDE + ", found AS (" + " UNION ALL ".join(f"SELECT asset_id, '{i}' AS rule_id, status, CASE WHEN status = 'pass' THEN 'info' ELSE 'error' END AS severity FROM ({r.SQL[i]})" for i in IDS) + ")"
 RANKED = ALL + ", best AS (SELECT asset_id, rule_id, max(CASE status WHEN 'pass' THEN 0 WHEN 'warn' THEN 1 WHEN 'inconclusive' THEN 2 ELSE 3 END) AS rnk, count(*) AS n_findings FROM found GROUP BY 1, 2), rules AS (SELECT unnest([" + ", ".join(f"'{i}'" for i in IDS) + "]) AS rule_id)"
 NAME = "CASE {} WHEN 3 THEN 'fail' WHEN 2 THEN 'inconclusive' WHEN 1 THEN 'warn' ELSE 'pass' END"
 
 
-def found(spark, sf):  # noqa: ANN001, ANN201
-    rows = b.inspections(spark, sf)
-    return rows, findings(rows, model.load(r.PROFILE))
+def found(spark, sf, *more):  # noqa: ANN001, ANN201
+    return arrays(b.inspections(spark, sf), model.load(r.PROFILE), "asset_id", *more)
 
 
 @query(f"{RANKED} SELECT flat.asset_id, rules.rule_id, {NAME.format('best.rnk')} AS status, coalesce(n_findings, 0) AS n_findings FROM flat CROSS JOIN rules LEFT JOIN best ON best.asset_id = flat.asset_id AND best.rule_id = rules.rule_id")
 def rule_status(spark, sf):  # noqa: ANN001, ANN201
-    rows, f = found(spark, sf)
-    assets = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("asset_id"))
-    return fold.rule_status(assets, f, fold.rule_list(spark, RULE_IDS)).drop("rule_ord")
+    return fold.row_status(found(spark, sf)).drop("rule_ord")
 
 
 @query(f"{ALL} SELECT flat.asset_id, count(found.status) FILTER (status = 'pass') + {len(IDS)} - count(DISTINCT found.rule_id) AS n_pass, count(*) FILTER (status = 'warn') AS n_warn, count(*) FILTER (status = 'inconclusive') AS n_inconclusive, count(*) FILTER (status = 'fail') AS n_fail FROM flat LEFT JOIN found USING (asset_id) GROUP BY 1")
 def status_counts(spark, sf):  # noqa: ANN001, ANN201
-    rows, f = found(spark, sf)
-    assets = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("asset_id"))
-    return fold.status_counts(assets, f, len(RULE_IDS))
+    return fold.row_counts(found(spark, sf))
 
 
 @query(f"{ALL}, v AS (SELECT flat.asset_id, count(*) FILTER (status = 'fail' AND fail_on <> 'critical') AS failed, count(*) FILTER (status = 'fail' AND fail_on = 'critical') AS below, count(*) FILTER (status = 'inconclusive' AND fail_on <> 'critical') AS inconclusive FROM flat LEFT JOIN found USING (asset_id) GROUP BY 1) SELECT *, CASE WHEN failed > 0 THEN 'fail' WHEN below + inconclusive > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM v")
 def verdict(spark, sf):  # noqa: ANN001, ANN201
-    rows, f = found(spark, sf)
-    return fold.verdicts(rows.select("asset_id", "fail_on"), f, None)
+    return fold.row_verdicts(found(spark, sf, "fail_on"), None)
 
 
 @query(f"{RANKED} SELECT asset_id, rule_id, {NAME.format('rnk')} AS status, n.n AS n_findings FROM best JOIN (SELECT asset_id, rule_id, count(*) AS n FROM found WHERE status <> 'pass' GROUP BY 1, 2) n USING (asset_id, rule_id) WHERE rnk > 0")
 def rule_rollup(spark, sf):  # noqa: ANN001, ANN201
-    return fold.rollup(found(spark, sf)[1]).select("asset_id", "rule_id", "status", "n_findings")
+    return fold.row_rollup(found(spark, sf)).select("asset_id", "rule_id", "status", "n_findings")
 
 
 @query(f"{ALL} SELECT asset_id, rule_id, status, count(*) AS n FROM found WHERE status <> 'pass' GROUP BY ALL")
 def template_summary(spark, sf):  # noqa: ANN001, ANN201
-    return report.template(found(spark, sf)[1], "summary").groupBy("asset_id", "rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return report.template(findings(b.inspections(spark, sf), model.load(r.PROFILE)), "summary").groupBy("asset_id", "rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{r.PRELUDE} SELECT asset_id::VARCHAR AS asset, 'container.timestamp_continuity' AS rule, status, CASE status WHEN 'pass' THEN 'info' ELSE 'error' END AS severity, '' AS stream, coalesce(start_ms::VARCHAR, '') AS start_ms, coalesce(end_ms::VARCHAR, '') AS end_ms, coalesce((end_ms - start_ms)::VARCHAR, '') AS measured, CASE WHEN start_ms IS NOT NULL THEN '150' ELSE '' END AS expected, CASE status WHEN 'pass' THEN 'timestamps are continuous' WHEN 'fail' THEN 'timestamp gap of ' || (end_ms - start_ms) || ' ms' ELSE 'the container was not scanned' END AS message FROM ({r.SQL['container.timestamp_continuity']})")
@@ -122,11 +114,11 @@ def custom_text_set(spark, sf):  # noqa: ANN001, ANN201
     return customs(spark, sf, range(4, 6))
 
 
-def compared(spark, sf):  # noqa: ANN001, ANN201
+def paired(spark, sf):  # noqa: ANN001, ANN201
     """Every even asset with the next one."""
     rows = b.inspections(spark, sf).select("asset_id", "inspection").withColumn("pair_id", F.expr("asset_id div 2"))
     a, c = (rows.where(f"asset_id % 2 = {i}").select("pair_id", F.col("inspection").alias(n)) for i, n in ((0, "a"), (1, "b")))
-    return cmp.compare(a.join(c, "pair_id").where("a.streams IS NOT NULL AND b.streams IS NOT NULL"))
+    return a.join(c, "pair_id").where("a.streams IS NOT NULL AND b.streams IS NOT NULL")
 
 
 ZIPPED = r.PRELUDE + ", z AS (SELECT s.*, asset_id // 2 AS pair_id, asset_id % 2 AS side, row_number() OVER (PARTITION BY asset_id, kind ORDER BY idx) - 1 AS i FROM streams s WHERE kind = 'subtitle'), has AS (SELECT DISTINCT asset_id FROM streams), pairs AS (SELECT x.asset_id // 2 AS pair_id FROM has x JOIN has y ON y.asset_id = x.asset_id + 1 WHERE x.asset_id % 2 = 0)"
@@ -134,12 +126,12 @@ ZIPPED = r.PRELUDE + ", z AS (SELECT s.*, asset_id // 2 AS pair_id, asset_id % 2
 
 @query(ZIPPED + ", n AS (SELECT pair_id, count(*) FILTER (asset_id % 2 = 0) AS a, count(*) FILTER (asset_id % 2 = 1) AS b FROM pairs LEFT JOIN (SELECT *, asset_id // 2 AS pair_id FROM streams WHERE kind = 'subtitle') USING (pair_id) GROUP BY 1) SELECT pair_id, 'subtitle ' || x.i AS scope, 'codec' AS field, CASE WHEN x.codec IS NULL OR y.codec IS NULL THEN 'unmeasured' WHEN lower(x.codec) = lower(y.codec) THEN 'same' ELSE 'different' END AS state FROM z x JOIN z y USING (pair_id, i) WHERE x.side = 0 AND y.side = 1 UNION ALL SELECT pair_id, 'subtitle', 'stream count', CASE WHEN a = b THEN 'same' ELSE 'different' END FROM n UNION ALL SELECT pair_id, 'container', 'duration', CASE WHEN x.container_ms IS NULL OR y.container_ms IS NULL THEN 'unmeasured' WHEN abs(x.container_ms - y.container_ms) <= 40 THEN 'same' ELSE 'different' END FROM pairs JOIN flat x ON x.asset_id = pair_id * 2 JOIN flat y ON y.asset_id = pair_id * 2 + 1")
 def compare_pairs(spark, sf):  # noqa: ANN001, ANN201
-    return compared(spark, sf).where("scope LIKE 'subtitle%' OR (scope = 'container' AND field = 'duration')").select("pair_id", "scope", "field", "state")
+    return cmp.compare(paired(spark, sf)).where("scope LIKE 'subtitle%' OR (scope = 'container' AND field = 'duration')").select("pair_id", "scope", "field", "state")
 
 
 @query()
 def compare_summary(spark, sf):  # noqa: ANN001, ANN201
-    return cmp.summary(compared(spark, sf))
+    return cmp.row_summary(cmp.arrays(paired(spark, sf)))
 
 
 @query("SELECT coalesce(o.o_custkey, c.c_custkey) AS asset_id, coalesce(o.n, c.c_nationkey)::BIGINT AS value FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o FULL JOIN customer c ON c.c_custkey = o.o_custkey")

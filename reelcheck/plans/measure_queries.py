@@ -70,11 +70,6 @@ def silence_segments(spark, sf):  # noqa: ANN001, ANN201
     return s.silence_segments(samples(spark, sf), 0.25)
 
 
-@query(f"WITH {FRAMES} SELECT asset_id, min(mean) AS min, max(mean) AS max, sum(round(mean * 1000)::BIGINT) / count(*) / 1000 AS mean, count(*) FILTER (mean < 16) / count(*) AS below_legal, count(*) FILTER (mean > 235) / count(*) AS above_legal, count(*) FILTER (mean >= 255) / count(*) AS clipped_white FROM f GROUP BY 1")
-def luma_stats(spark, sf):  # noqa: ANN001, ANN201
-    return s.luma_stats(frames(spark, sf))
-
-
 @query(f"WITH {FRAMES} SELECT asset_id, 1000 * (count(*) - 1) AS num, (max(ts) - min(ts))::BIGINT AS den FROM f GROUP BY 1 HAVING count(*) > 1 AND max(ts) > min(ts)")
 def observed_rate(spark, sf):  # noqa: ANN001, ANN201
     return s.observed_rate(frames(spark, sf))
@@ -184,6 +179,13 @@ def cue_timing(spark, sf):  # noqa: ANN001, ANN201
     return c.cue_timing(cue_table(spark, sf))
 
 
+@query(f"WITH {CUES} SELECT asset_id, count(*) AS cue_count, coalesce(array_to_string(list_sort(list(start_ms) FILTER (end_ms <= start_ms)), ','), '') AS invalid_at, coalesce(array_to_string(list_sort(list(least(end_ms, nxt)) FILTER (end_ms > nxt)), ','), '') AS overlaps_until, max(CASE WHEN end_ms <= nxt THEN nxt - end_ms END) AS max_gap_ms, max(end_ms) AS covered_until_ms FROM n GROUP BY 1")
+def cue_ranges(spark, sf):  # noqa: ANN001, ANN201
+    found = c.cue_ranges(cue_table(spark, sf).withColumn("is_text", F.lit(True)))
+    joined = lambda name, end: F.array_join(F.array_sort(F.transform(name, lambda r: r[end])).cast("array<string>"), ",")
+    return found.select("asset_id", "cue_count", joined("invalid_durations", "start_ms").alias("invalid_at"), joined("overlaps", "end_ms").alias("overlaps_until"), "max_gap_ms", "covered_until_ms")
+
+
 LINES = r"l AS (SELECT asset_id, start_ms, list_filter(list_transform(string_split(payload, chr(10)), lambda x: trim(regexp_replace(trim(regexp_replace(x, '^.*-->', '')), '(\{[^}]*(\}|$))|(<[^>]*(>|$))', '', 'g'))), lambda x: x <> '') AS lines FROM c)"
 
 
@@ -216,9 +218,8 @@ def transcript_pairs(spark, sf):  # noqa: ANN001, ANN201
 PAIRS = "t AS (SELECT conv_id * 1000 + turn AS asset_id, text AS expected, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hypothesis FROM conversations)"
 
 
-@query(f"WITH {PAIRS}, k AS (SELECT asset_id, {TOKENS.format('expected')} AS e, {TOKENS.format('hypothesis')} AS h FROM t WHERE hypothesis IS NOT NULL), u AS (SELECT asset_id, list_filter(h, lambda w: NOT list_contains(e, w)) AS u FROM k) SELECT asset_id, len(u)::BIGINT AS unexpected_total, array_to_string(list_sort(list_distinct(u)), ' ') AS unexpected_words FROM u WHERE len(list_distinct(u)) <= 50")
+@query(f"WITH {PAIRS}, k AS (SELECT asset_id, {TOKENS.format('expected')} AS e, {TOKENS.format('hypothesis')} AS h FROM t WHERE hypothesis IS NOT NULL), u AS (SELECT asset_id, list_filter(h, lambda w: NOT list_contains(e, w)) AS u FROM k) SELECT asset_id, len(u)::BIGINT AS unexpected_total, array_to_string(list_sort(list_filter(u, lambda w, i: list_position(u, w) = i)[1:50]), ' ') AS unexpected_words FROM u")
 def unexpected_words(spark, sf):  # noqa: ANN001, ANN201
-    # the SQL has no pair whose list is cut at 50 words; the query has them all, with their whole totals
     return c.unexpected_words(transcript_pairs(spark, sf)).select("asset_id", "unexpected_total", F.array_join("unexpected_words", " ").alias("unexpected_words"))
 
 
@@ -270,6 +271,12 @@ def perceptual_blur(spark, sf):  # noqa: ANN001, ANN201
     return p.perceptual(pictures(spark, sf)).select("asset_id", "frame", F.round("blur", 9).alias("blur"))
 
 
+@query(f"WITH {PIXELS} SELECT asset_id, min(v)::INT AS min, max(v)::INT AS max, round(sum(v) / count(*), 9) AS mean, round(count(*) FILTER (v < 16) / count(*), 9) AS below_legal, round(count(*) FILTER (v > 235) / count(*), 9) AS above_legal, round(count(*) FILTER (v >= 255) / count(*), 9) AS clipped_white FROM px GROUP BY 1")
+def luma_stats(spark, sf):  # noqa: ANN001, ANN201
+    rows = s.luma_stats(pictures(spark, sf))
+    return rows.select("asset_id", "min", "max", *[F.round(c, 9).alias(c) for c in rows.columns[3:]])
+
+
 TILED = PIXELS + ", big AS (SELECT asset_id, frame, x + 8 * a AS x, y + 8 * b AS y, v FROM px, range(2) s(a), range(2) t(b))"
 
 
@@ -284,7 +291,9 @@ def perceptual_blockiness(spark, sf):  # noqa: ANN001, ANN201
     return p.perceptual(tiled(spark, sf)).where("blockiness IS NOT NULL").select("asset_id", "frame", F.round("blockiness", 9).alias("blockiness"))
 
 
-@query()
+@query(f"""WITH {TILED}, s AS (SELECT a.asset_id, a.frame, a.x, a.y, any_value(a.v) AS v, avg(b.v) AS m FROM big a JOIN big b ON a.frame = b.frame AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 WHERE a.x BETWEEN 2 AND 13 AND a.y BETWEEN 2 AND 13 GROUP BY ALL),
+  f AS (SELECT a.asset_id, a.frame, any_value(a.v - a.m) AS rest, max(b.m) - min(b.m) <= 3 AS flat FROM s a JOIN s b ON a.frame = b.frame AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 WHERE a.x BETWEEN 3 AND 12 AND a.y BETWEEN 3 AND 12 GROUP BY a.asset_id, a.frame, a.x, a.y)
+  SELECT asset_id, frame, CASE WHEN count(*) FILTER (flat) >= 64 THEN round(sqrt(avg(rest * rest) FILTER (flat)), 9) END AS noise FROM f GROUP BY 1, 2""")
 def perceptual_noise(spark, sf):  # noqa: ANN001, ANN201
     return p.perceptual(tiled(spark, sf)).select("asset_id", "frame", F.round("noise", 9).alias("noise"))
 
@@ -296,7 +305,13 @@ def dead_pixel_cells(spark, sf):  # noqa: ANN001, ANN201
     return p.dead_cells(pictures(spark, sf), dead_at=60, stuck_at=90, flicker=False).select("asset_id", "x", "y", "kind")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PIXELS}, f AS (SELECT frame, max(v) AS hi, min(v) AS lo FROM px GROUP BY 1), z AS (SELECT px.*, hi >= 200 AS bright, lo <= 55 AS dark FROM px JOIN f USING (frame)),
+  n AS (SELECT asset_id, count(DISTINCT frame) FILTER (bright) AS b, count(DISTINCT frame) FILTER (dark) AS d FROM z GROUP BY 1), k AS (SELECT asset_id, x, y, max(v) FILTER (bright) AS top, min(v) FILTER (dark) AS low FROM z GROUP BY 1, 2, 3),
+  c AS (SELECT asset_id, x, y, CASE WHEN top <= 90 THEN 'dead' ELSE 'stuck' END AS kind FROM k JOIN n USING (asset_id) WHERE b >= 3 AND d >= 3 AND (top <= 90 OR low >= 80)),
+  reach(asset_id, kind, x, y, root) AS (SELECT asset_id, kind, x, y, x + 8 * y FROM c UNION SELECT r.asset_id, r.kind, c.x, c.y, r.root FROM reach r JOIN c ON c.asset_id = r.asset_id AND c.kind = r.kind AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
+  own AS (SELECT asset_id, kind, x, y, min(root) AS root FROM reach GROUP BY 1, 2, 3, 4),
+  g AS (SELECT asset_id, kind, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS cells FROM own GROUP BY asset_id, kind, root)
+  SELECT asset_id, x::BIGINT AS x, y::BIGINT AS y, width::BIGINT AS width, height::BIGINT AS height, cells, kind FROM g QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY cells DESC, y, x) <= 64""")
 def dead_pixel_clusters(spark, sf):  # noqa: ANN001, ANN201
     return p.clusters(p.dead_cells(pictures(spark, sf), dead_at=90, stuck_at=80, flicker=False))
 
@@ -304,12 +319,18 @@ def dead_pixel_clusters(spark, sf):  # noqa: ANN001, ANN201
 @query()
 def flash_transitions(spark, sf):  # noqa: ANN001, ANN201
     rows = pictures(spark, sf).withColumn("ts", F.col("frame") * 40)
-    return p.flash_transitions(rows, least=0.02, darker=2.0, share=0.25)
+    return p.flash_transitions(p.flash_grid(rows))
 
 
-@query()
+def oversampled() -> str:
+    """The largest magnitude of the four delayed signals, as sums over the twelve samples before; the silent sample at the end included."""
+    phases = [" + ".join(f"coalesce(lag(x, {k}) OVER w, 0) * {float(h)!r}::DOUBLE" for k, h in enumerate(taps)) for taps in p.kernel()]
+    return "greatest(" + ", ".join(f"abs({phase})" for phase in phases) + ")"
+
+
+@query(f"WITH {FRAMES}, e AS (SELECT asset_id, ts, seq, x, 0 AS tail FROM f UNION ALL SELECT asset_id, max(ts), max(seq), 0, 1 FROM f GROUP BY 1), o AS (SELECT asset_id, {oversampled()} AS y FROM e WINDOW w AS (PARTITION BY asset_id ORDER BY tail, ts, seq)) SELECT asset_id, round(CASE WHEN max(y) > 0 THEN 20 * log10(max(y)) ELSE -300 END, 6) AS true_peak_db FROM o GROUP BY 1")
 def true_peak(spark, sf):  # noqa: ANN001, ANN201
-    return p.true_peak(samples(spark, sf).select("asset_id", "ts", "seq", "x"))
+    return p.true_peak(samples(spark, sf).select("asset_id", "ts", "seq", "x")).withColumn("true_peak_db", F.round("true_peak_db", 6))
 
 
 @query()

@@ -164,7 +164,7 @@ def mapping(value: Any, where: str) -> dict[str, Any]:
     if value is None:
         return {}
     if not isinstance(value, dict):
-        raise ProfileError(where, f"expected a mapping, got {value!r}")
+        raise ProfileError(where, f"{value!r} is no table of names and values")
     return {str(k): v for k, v in value.items()}
 
 
@@ -186,7 +186,7 @@ def read_rule(rule_id: str, value: Any) -> dict[str, Any]:
         elif isinstance(value, str) and value.strip().lower() in SEVERITY_NAMES:
             value = {"severity": value}
         else:
-            raise ProfileError(where, f"expected a mapping, got {value!r}")
+            raise ProfileError(where, f"{value!r} is no table of names and values")
     if rule_id in STRICT or rule_id.split(".")[0] in ("subtitle", "voice"):
         known(value, {*keys, "severity"}, where)
     # an unknown severity in a mapping counts as none
@@ -221,7 +221,7 @@ def read_custom(value: Any, where: str) -> dict[str, Any]:
     scope = one_of("container", "video", "audio", "subtitle")(m["scope"], f"{where}.scope")
     streams = one_of("all", "primary")(m.get("streams", "all"), f"{where}.streams")
     if scope == "container" and "streams" in m:
-        raise ProfileError(f"{where}.streams", "does not apply to container rules")
+        raise ProfileError(f"{where}.streams", "is for rules about streams only")
     try:
         _, number = metric(scope, m["metric"])
     except ValueError as e:
@@ -230,13 +230,13 @@ def read_custom(value: Any, where: str) -> dict[str, Any]:
     if op is None:
         raise ProfileError(f"{where}.op", f"unknown operator {m['op']!r}")
     if "value" not in m:
-        raise ProfileError(where, "missing 'value'")
+        raise ProfileError(where, "a rule without a value to compare with")
     values = m["value"] if isinstance(m["value"], list) else [m["value"]]
     values = [str(v).lower() if isinstance(v, bool) else v for v in values]
     if not values or (op not in ("in", "not_in") and len(values) != 1):
         raise ProfileError(f"{where}.value", "takes one value (in and not_in: one or more)")
     if op in ("<", "<=", ">", ">=") and not number:
-        raise ProfileError(f"{where}.op", "needs a numeric metric")
+        raise ProfileError(f"{where}.op", "orders numbers, and this metric is text")
     for v in values:
         if not isinstance(v, str | int | float) or isinstance(v, str) == number or (isinstance(v, float) and not math.isfinite(v)):
             raise ProfileError(f"{where}.value", f"{v!r} does not fit the metric")
@@ -273,7 +273,7 @@ def parse(text: str) -> Profile:
     except yaml.YAMLError as e:
         raise ProfileError("$", f"no YAML: {e}") from e
     if not isinstance(root, dict):
-        raise ProfileError("$", "expected a mapping")
+        raise ProfileError("$", "a profile is a table of names and values")
     known(root, ("name", "version", "rules", "policy", "description", "comment"), "$")
     if not isinstance(root.get("name"), str) or not root["name"].strip():
         raise ProfileError("name", "is needed")

@@ -48,15 +48,16 @@ def holds(value: str, number: bool, op: str, wanted: object, tolerance: float) -
 
 
 def build(c: dict) -> str:
-    """Holds: nothing. Metric missing: inconclusive. Else a failure. Streams of the kind that aren't there pass."""
+    """Holds: nothing. Metric missing: inconclusive. Else a failure, with the rule's own message if it has one. Streams of the kind that aren't there pass."""
     r, op = Rule(c["id"], c["severity"]), OPERATORS[c["op"]]
     value, number = metric(c["scope"], c["metric"])
     good = holds(value, number, op, c["value"], c.get("tolerance") or 0.0)
     expected = text(f"{op} {c['value']}")
+    says = f"concat({text(c['message'] + ' (' + c['metric'] + ': ')}, {value}, ')')" if c.get("message") else f"concat('{c['metric']} is ', {value})"
     if c["scope"] == "container":
-        return cases((f"{value} IS NULL", one(r.unknown(f"'{c['metric']} was not measured'", expected=expected))), (f"NOT ({good})", one(r.fail(f"concat('{c['metric']} is ', {value})", measured=value, expected=expected))))
+        return cases((f"{value} IS NULL", one(r.unknown(f"'{c['metric']} was not measured'", expected=expected))), (f"NOT ({good})", one(r.fail(says, measured=value, expected=expected))))
     chosen = f"filter(streams, s -> s.kind = '{c['scope']}')"
     if c.get("streams", "all") == "primary":
         chosen = f"slice({chosen}, 1, 1)"
-    found = f"CASE WHEN {value} IS NULL THEN {r.unknown(f"'{c['metric']} was not measured'", expected=expected, stream='s.index')} ELSE {r.fail(f"concat('{c['metric']} is ', {value})", measured=value, expected=expected, stream='s.index')} END"
+    found = f"CASE WHEN {value} IS NULL THEN {r.unknown(f"'{c['metric']} was not measured'", expected=expected, stream='s.index')} ELSE {r.fail(says, measured=value, expected=expected, stream='s.index')} END"
     return f"transform(filter({chosen}, s -> {value} IS NULL OR NOT ({good})), s -> {found})"

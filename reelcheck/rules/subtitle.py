@@ -44,7 +44,7 @@ def limit(r: Rule, field: str, c: dict, key: str, message: str) -> list[str]:
 def timing(c: dict) -> str:
     r = Rule("subtitle.timing", c["severity"])
     measured = "x.m.cue_count IS NOT NULL"
-    found = over_tracks(measured, all_or_none(r, "invalid_durations", c["max_invalid_durations"], "does not end after it starts"), all_or_none(r, "overlaps", c["max_overlaps"], "overlaps the next cue"), *limit(r, "max_gap_ms", c, "max_gap_ms", "leaves a gap of"), *limit(r, "max_cue_duration_ms", c, "max_cue_duration_ms", "shows a cue for"))
+    found = over_tracks(measured, all_or_none(r, "invalid_durations", c["max_invalid_durations"], "is over before it begins"), all_or_none(r, "overlaps", c["max_overlaps"], "runs on into the cue that follows"), *limit(r, "max_gap_ms", c, "max_gap_ms", "leaves a gap of"), *limit(r, "max_cue_duration_ms", c, "max_cue_duration_ms", "shows a cue for"))
     return cases((f"NOT exists(subs, x -> {measured})", one(r.unknown("'cue timing was not measured'"))), otherwise=found)
 
 
@@ -54,7 +54,7 @@ def content(c: dict) -> str:
     measured = "coalesce(x.m.cue_count, 0L) > 0"
     decoded = f"{measured} AND coalesce(x.m.text_decoded, false)"
     text_limits = [part.replace("CASE WHEN", "CASE WHEN coalesce(x.m.text_decoded, false) AND", 1) for part in (*limit(r, "max_line_chars", c, "max_chars_per_line", "has a line of"), *limit(r, "max_lines_per_cue", c, "max_lines_per_cue", "has lines in a cue:"))]
-    found = over_tracks(measured, all_or_none(r, "malformed", c["max_malformed"], "payload is not decodable text"), all_or_none(r, "empty_cues", c["max_empty"], "contains no visible text"), *text_limits)
+    found = over_tracks(measured, all_or_none(r, "malformed", c["max_malformed"], "holds bytes that are no text"), all_or_none(r, "empty_cues", c["max_empty"], "shows nothing"), *text_limits)
     return cases((f"NOT exists(subs, x -> {decoded})", one(r.unknown("'cue text was not decoded'"))), otherwise=found)
 
 
@@ -68,7 +68,7 @@ def duration_match(c: dict) -> str:
     if not c["allow_longer"]:
         parts.append(f"CASE WHEN x.m.covered_until_ms > {v} + {slack} THEN {one(r.fail(f"concat('subtitle track [', {TAG}, '] runs past the video')", measured='x.m.covered_until_ms', expected=v))} ELSE array() END")
     measured = "x.m.covered_until_ms IS NOT NULL"
-    return cases((f"{v} IS NULL", one(r.unknown("'the video duration is unknown'"))), (f"NOT exists(subs, x -> {measured})", one(r.unknown("'cue timing was not measured'"))), otherwise=over_tracks(measured, *parts))
+    return cases((f"{v} IS NULL", one(r.unknown("'there is no video length to compare with'"))), (f"NOT exists(subs, x -> {measured})", one(r.unknown("'cue timing was not measured'"))), otherwise=over_tracks(measured, *parts))
 
 
 BUILDERS = {"presence": presence, "language": languages, "timing": timing, "content": content, "duration_match": duration_match}

@@ -102,19 +102,19 @@ def hdr(c: dict) -> str:
     pq = f"{actual} = 'pq' AND {static} AND NOT coalesce({h}.dolby_vision, false)"
     problems = [
         bad(f"{actual} NOT IN ({', '.join(map(text, MODES[c['mode']]))})", f"concat('transfer is ', {h}.transfer)"),
-        bad(f"{high} AND NOT startswith(lower({h}.primaries), 'bt2020')", f"concat('HDR signalled with ', {h}.primaries, ' primaries')"),
-        bad(f"{high} AND {h}.primaries IS NULL", "'HDR signalled without colour primaries'"),
-        bad(f"{high} AND NOT startswith(lower({h}.matrix), 'bt2020')", f"concat('HDR signalled with ', {h}.matrix, ' matrix')"),
-        bad(f"{high} AND {h}.`range` <> 'tv'", f"concat('HDR delivery should be limited range, found ', {h}.`range`)"),
-        bad(f"{high} AND NOT (pv.pixel_format LIKE '%10%' OR pv.pixel_format LIKE '%12%' OR pv.pixel_format LIKE '%16%')", "'HDR requires at least 10-bit sample depth'"),
-        bad(f"{pq} AND {h}.mastering_display IS NULL", "'mastering display metadata is missing'"),
-        bad(f"{pq} AND ({h}.max_cll IS NULL OR {h}.max_fall IS NULL)", "'content light level is missing'"),
-        bad(f"{h}.max_fall > {h}.max_cll", f"concat('MaxFALL ', {h}.max_fall, ' exceeds MaxCLL ', {h}.max_cll)"),
+        bad(f"{high} AND NOT startswith(lower({h}.primaries), 'bt2020')", f"concat('a high dynamic range needs bt2020 primaries, not ', {h}.primaries)"),
+        bad(f"{high} AND {h}.primaries IS NULL", "'a high dynamic range needs bt2020 primaries, none are given'"),
+        bad(f"{high} AND NOT startswith(lower({h}.matrix), 'bt2020')", f"concat('a high dynamic range needs a bt2020 matrix, not ', {h}.matrix)"),
+        bad(f"{high} AND {h}.`range` <> 'tv'", f"concat('levels are in the range ', {h}.`range`, ' and not tv')"),
+        bad(f"{high} AND NOT (pv.pixel_format LIKE '%10%' OR pv.pixel_format LIKE '%12%' OR pv.pixel_format LIKE '%16%')", "'samples have fewer than ten bits'"),
+        bad(f"{pq} AND {h}.mastering_display IS NULL", "'nothing says on which display it was graded'"),
+        bad(f"{pq} AND ({h}.max_cll IS NULL OR {h}.max_fall IS NULL)", "'brightest pixel and frame are not given'"),
+        bad(f"{h}.max_fall > {h}.max_cll", f"concat('the brightest frame (', {h}.max_fall, ') is above the brightest pixel (', {h}.max_cll, ')')"),
     ]
     for key, field in (("max_cll_nits", "max_cll"), ("max_fall_nits", "max_fall")):
         if c.get(key) is not None:
-            problems.append(bad(f"{h}.{field} > {c[key]}", f"concat('{field} ', {h}.{field}, ' exceeds the limit')"))
-    problems.append(bad(f"{h}.mastering_display.min_luminance_nits >= {h}.mastering_display.max_luminance_nits", "'mastering display minimum is not below its maximum'"))
+            problems.append(bad(f"{h}.{field} > {c[key]}", f"concat('{field} ', {h}.{field}, ' is above what is allowed')"))
+    problems.append(bad(f"{h}.mastering_display.min_luminance_nits >= {h}.mastering_display.max_luminance_nits", "'the grading display is as bright at its darkest as at its brightest'"))
     return cases(*unknown(r, (f"{actual} IS NULL", "'no transfer characteristic was reported'")), otherwise=several(*problems))
 
 

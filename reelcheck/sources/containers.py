@@ -30,7 +30,6 @@ TS_REGISTERED = {b"AV01": ("video", "av1"), b"av01": ("video", "av1"), b"vp09":
 TS_VIDEO, TS_AUDIO = (0x01, 0x02, 0x10, 0x1B, 0x24, 0x42, 0xD1, 0xEA), (0x03, 0x04, 0x0F, 0x11, 0x81, 0x82, 0x83, 0x87, 0x8A)
 KINDS = {1: "video", 2: "audio", 17: "subtitle"}
 HANDLERS = {b"vide": "video", b"soun": "audio", b"text": "subtitle", b"sbtl": "subtitle", b"subt": "subtitle"}
-MOST_SAMPLES = 2_000_000
 
 
 @dataclass
@@ -155,9 +154,13 @@ def iso_track(data: bytes, a: int, b: int, native: int, out: Probe) -> None:
     if any(x >= len(data) for x in chunks):
         out.corrupt = out.corrupt or f"samples of track {native} lie beyond the end of the file"
     ts = seq = 0
+    # every sample has a size of its own in the file, or so many bytes of it: a table that declares more is broken, and told above or here
+    most = len(data) // same if same else len(each)
+    if sum(n for n, _ in durations) > most:
+        out.problems.append(f"track {native} has times for more samples than the file can hold")
     places = iso_places(chunks, table(data, inside(data, *stbl, b"stsc"), "III"), each, same)
     for n, d in durations:
-        for _ in range(min(n, MOST_SAMPLES - seq)):
+        for _ in range(min(n, most - seq)):
             size = each[seq] if seq < len(each) else same
             out.samples.append((native, seq, ts, d, size))
             if kind == "subtitle" and scale:

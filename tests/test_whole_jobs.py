@@ -7,7 +7,6 @@ from collections import Counter
 import duckdb
 import pytest
 
-from reelcheck.llm import extract
 from reelcheck.plans import fold_queries, measure_queries
 from reelcheck.plans import rule_queries as r
 from reelcheck.rules.compiler import RULE_IDS
@@ -62,24 +61,3 @@ def test_unexpected_words_keeps_pairs_with_long_lists(spark, tmp_path):
             want[c * 1000 + t] = (len(strange), " ".join(sorted(list(dict.fromkeys(strange))[:50])))
     got = {r.asset_id: (r.unexpected_total, r.unexpected_words) for r in measure_queries.QUERIES["unexpected_words"](spark, str(tmp_path)).collect()}
     assert got == want and got[1000][0] == 72 and len(got[1000][1].split()) == 50
-
-
-def page(i, words, layout="a"):
-    body = f"<article><p>{words}</p><p>Written by the staff of layout {layout}</p></article>"
-    return f"<html><body><div class='top-{layout}'>Top</div>{body}</body></html>"
-
-
-def texts_of(spark, rows):
-    return {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-
-
-def test_template_nodes_are_counted_over_all_pages(spark):
-    own = [f"Story {'abcdefghijklmnopqrstuvwxyz'[i]} of its own" for i in range(26)]
-    url = lambda h: f"http://{h}.example/x"
-    rows = [(i, url("plain"), page(i, own[i])) for i in range(12)] + [(100 + i, url("plain"), f"plain text {i}") for i in range(2)]
-    rows += [(200 + i, url("two"), page(i, own[i], "a" if i % 2 else "b")) for i in range(12)]
-    rows += [(300 + i, url("copies"), page(0, own[0])) for i in range(40)] + [(400 + i, url("copies"), None) for i in range(40)] + [(500 + i, url("copies"), page(i, own[i])) for i in range(1, 4)]
-    got = texts_of(spark, rows)
-    assert all(got[i] == own[i] for i in range(12)) and got[100] == "plain text 0"
-    assert all(got[200 + i] == own[i] for i in range(12))
-    assert all(got[300 + i] == own[0] for i in range(40)) and got[400] == "" and [got[500 + i] for i in range(1, 4)] == own[1:4]
