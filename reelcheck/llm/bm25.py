@@ -16,11 +16,12 @@ shards compare and their local top k merge to the exact one.
    most the sum of the block maxima of the query's words, and at most the sum of the document's own frequent words.  Only where the essential part plus
    that bound reaches the k-th best score so far they are read, for all such queries of a chunk at once, in single precision with
    a margin beyond its rounding; what still reaches the k-th best score is scored in double precision.
-5. The longest documents, one of ``longest`` of all, are searched first, since most of the best hits are among them.  Their k-th
-   best scores are what a hit among the others must reach at least.
+5. Documents are searched in tiers, the longest first, since most of the best hits are among them: one document in 256, one in 16,
+   the rest.  The k-th best scores so far are what a hit of the next tier must reach, so a task hands on no more than what is better,
+   however many tasks there are.
 6. The tasks' local top k are merged by one ranking.
 
-The clusters, the order of documents and which of them go first don't change any result, whatever they come to.
+The clusters, the order of documents and their tiers don't change any result, whatever they come to.
 
 Defined results: a query without words has no row; documents that share no word with a query are no hits, so a
 query may have fewer than k; ties go to the smaller id, null ids last; a document finds itself; rows of one query
@@ -35,21 +36,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, ship
-from .textbytes import Lookup, WordHasher, distinct, runs, text_bytes
+from .common import keep, setting, ship
+from .textbytes import Lookup, WordHasher, distinct, runs, text_bytes, trim
 
 #: Documents of a shard and of a block; queries of a chunk (a chunk's scores of a shard fit in a core's cache).
 SHARD, BLOCK, CHUNK = 512, 64, 512
 #: Documents and postings that are ordered at once; postings that are added at once; hits that wait for a merge.
-GROUP_ROWS, GROUP_POSTINGS, PIECE, WAITING = 4096, 4_000_000, 40_000, 60_000
+GROUP_ROWS, GROUP_POSTINGS, PIECE, WAITING = 2048, 1_000_000, 40_000, 60_000
 #: A word is frequent in a cluster if a chunk and a shard share so many pairs of a query and a document with it.
 WORTH = 200
 #: Scores are compared and returned to this precision; single precision is trusted up to this share of a score.
 DIGITS, MARGIN = 9, 2e-4
 LAST = np.iinfo(np.int64).max
+#: Documents of a task in the last tier (a quarter of it in those before).
+TASK_DOCS = 16_384
+#: The index's rows are wide, so its row groups and the readers' batches are small.
+SMALL_GROUPS, READER_ROWS = {"parquet.block.size": str(16 << 20)}, ("spark.sql.parquet.columnarReaderBatchSize", "256")
 INDEX = "doc_id long, length long, words binary, counts binary, df boolean"
 
 
@@ -63,7 +69,7 @@ class Chunk:
     words: np.ndarray  # places of its essential words, in order
     starts: np.ndarray  # where each word's queries begin in of_word
     of_word: np.ndarray  # queries (from 0), times SHARD
-    dense: np.ndarray  # query x frequent word of the cluster, 0/1
+    dense: np.ndarray  # query x frequent word of the cluster, 0/1, a byte each
 
 
 @dataclass
@@ -106,6 +112,7 @@ def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n_docs >= GROUP_ROWS or sum(map(len, waiting)) >= GROUP_POSTINGS:
                     yield df_batch(waiting, n_docs, n_words)
                     waiting, n_docs, n_words = [], 0, 0
+            trim()
         if n_docs:
             yield df_batch(waiting, n_docs, n_words)
 
@@ -190,13 +197,13 @@ def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float, frequent:
             last = min(hi, first + CHUNK)
             own_t, own_q = t[of[first] : of[last]], who[of[first] : of[last]] - first
             column = dense_of[own_t]
-            dense = np.zeros((last - first, len(most)), np.float32)
-            dense[own_q[column >= 0], column[column >= 0]] = 1.0
+            dense = np.zeros((last - first, len(most)), np.uint8)
+            dense[own_q[column >= 0], column[column >= 0]] = 1
             rest = column < 0
             by_word = np.sort(own_t[rest] * np.int64(CHUNK) + own_q[rest])
             word = by_word // CHUNK
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            chunks.append(Chunk(first, last - first, a, word[starts], np.append(starts, len(word)), by_word % CHUNK * SHARD, dense))
+            chunks.append(Chunk(first, last - first, a, word[starts].astype(np.int32), np.append(starts, len(word)).astype(np.int32), (by_word % CHUNK * SHARD).astype(np.int32), dense))
     return Queries(ids, h, idf, chunks, lists, max(mean_length, 1e-9), np.full(len(ids), 1e-9))
 
 
@@ -261,7 +268,7 @@ class Shard:
     """Postings of some documents, turned round: lists by word, and the frequent words' impacts as matrices."""
 
     def __init__(self, ids: np.ndarray, d: np.ndarray, t: np.ndarray, impact: np.ndarray):
-        order = np.argsort(t * np.int64(SHARD) + d)
+        order = np.argsort(t * SHARD + d)
         self.ids, self.d, self.impact, t = ids, d[order], impact[order], t[order]
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         self.words, self.starts, self.of_posting = t[starts], np.append(starts, len(t)), t
@@ -295,11 +302,11 @@ def add_essential(scores: np.ndarray, chunk: Chunk, shard: Shard, place: np.ndar
     Only for the queries whose words' highest impacts in the shard come to ``least``; false if there are none."""
     j = place[chunk.words]
     shared = np.flatnonzero(j >= 0)
-    j = j[shared]
-    n = chunk.starts[shared + 1] - chunk.starts[shared]
-    at = np.repeat(chunk.starts[shared] - np.cumsum(n) + n, n)
+    j, first = j[shared], chunk.starts[shared].astype(np.int64)
+    n = chunk.starts[shared + 1] - first
+    at = np.repeat(first - np.cumsum(n) + n, n)
     at += np.arange(len(at))
-    row, j = chunk.of_word[at], np.repeat(j, n)
+    row, j = chunk.of_word[at].astype(np.int64), np.repeat(j, n)
     alive = np.bincount(row // SHARD, shard.top[j], chunk.n) >= least
     if not alive.any():
         return False
@@ -327,7 +334,8 @@ def search_shard(shard: Shard, q: Queries, chunk: Chunk, best: Best, s: np.ndarr
     s = s[: chunk.n]
     floor, n_f = best.floor[chunk.first : chunk.first + chunk.n], chunk.dense.shape[1]
     impacts, maxima, sums = shard.matrix(chunk.cluster, column, n_f)
-    bound = chunk.dense @ maxima
+    dense = chunk.dense.astype(np.float32)
+    bound = dense @ maxima
     if not add_essential(s, chunk, shard, place, floor * (1 - MARGIN) - bound.max(1)):
         return
     most = s.astype(np.float32).reshape(chunk.n, SHARD // BLOCK, BLOCK)
@@ -337,10 +345,10 @@ def search_shard(shard: Shard, q: Queries, chunk: Chunk, best: Best, s: np.ndarr
     for j in np.flatnonzero(in_block.any(0)):
         who, cols = np.flatnonzero(in_block[:, j]), slice(j * BLOCK, (j + 1) * BLOCK)
         if 4 * len(who) > 3 * chunk.n:  # nearly all: no copy of their rows
-            who, some = np.arange(chunk.n), chunk.dense @ impacts[:, cols]
+            who, some = np.arange(chunk.n), dense @ impacts[:, cols]
             some += s[:, cols]
         else:
-            some = chunk.dense[who] @ impacts[:, cols]
+            some = dense[who] @ impacts[:, cols]
             some += s[who, cols]
         top = some.max(1)
         hit = np.flatnonzero(top >= floor[who] * (1 - MARGIN))
@@ -366,7 +374,7 @@ def search_shard(shard: Shard, q: Queries, chunk: Chunk, best: Best, s: np.ndarr
         exact = shard.exact(chunk.cluster, column, n_f)
         for a in range(0, len(r), SHARD // 2):
             own = slice(a, a + SHARD // 2)
-            score[own] += np.einsum("ij,ij->i", chunk.dense[r[own]], exact[c[own]])
+            score[own] += np.einsum("ij,ij->i", dense[r[own]], exact[c[own]])
     kept = (score >= floor[r]) & (score > 0)
     if kept.any():
         best.add(chunk.first + r[kept], score[kept], shard.ids[c[kept]])
@@ -374,11 +382,13 @@ def search_shard(shard: Shard, q: Queries, chunk: Chunk, best: Best, s: np.ndarr
 
 def groups(batches: Iterator[pa.RecordBatch], known: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids and lengths of some thousand documents, and their postings (document, word, count) of known words."""
-    parts, n, m = [], 0, 0
+    parts: list[tuple[np.ndarray, ...]] = []
+    n = m = 0
 
     def whole():
-        ids, length, d, t, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return ids, length, d, t, tf
+        columns = list(zip(*parts, strict=True))
+        parts.clear()
+        return tuple(np.concatenate(columns.pop(0)) for _ in range(5))
 
     for batch in batches:
         for part in slices(batch, 2):
@@ -391,13 +401,15 @@ def groups(batches: Iterator[pa.RecordBatch], known: Lookup) -> Iterator[tuple[n
             d = np.repeat(np.arange(part.num_rows), np.diff(of) // 8)
             t = known.find(words)
             kept = t >= 0
-            parts.append((ids, length, d[kept] + n, t[kept], tf[kept]))
+            parts.append((ids, length, (d[kept] + n).astype(np.int32), t[kept].astype(np.int32), tf[kept]))
             n, m = n + part.num_rows, m + int(kept.sum())
             if n >= GROUP_ROWS or m >= GROUP_POSTINGS:
                 yield whole()
-                parts, n, m = [], 0, 0
+                trim()
+                n = m = 0
     if parts:
         yield whole()
+        trim()
 
 
 def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
@@ -409,18 +421,25 @@ def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float
         columns[-1][most] = np.arange(len(most))
     s, place = np.zeros((CHUNK, SHARD)), np.full(len(q.words), -1, np.int32)
     for ids, length, d, t, tf in groups(batches, known):
-        impact = q.idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / q.mean_length))
-        weights = np.stack([np.bincount(d, impact * (c[t] >= 0), len(ids)) for c in columns]) if columns else np.zeros((1, len(ids)))
+        impact = (k1 * (1 - b + b * length / q.mean_length))[d]
+        impact += tf
+        np.divide(tf, impact, out=impact)
+        impact *= q.idf[t]
+        impact *= k1 + 1
+        weights = np.zeros((max(1, len(columns)), len(ids)))
+        for w, c in zip(weights, columns, strict=False):
+            some = np.flatnonzero(c[t] >= 0)
+            w[:] = np.bincount(d[some], impact[some], len(ids))
         order = np.lexsort((-weights.max(0), weights.argmax(0)))
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        by_doc = np.argsort(rank[d], kind="stable")
-        d, t, impact, ids = rank[d][by_doc], t[by_doc], impact[by_doc], ids[order]
-        of = runs(d, len(ids))
+        # postings come document by document, so a shard's are the slices of its documents
+        at, ids = np.searchsorted(d, np.arange(len(order) + 1)), ids[order]
         for lo in range(0, len(ids), SHARD):
             hi = min(len(ids), lo + SHARD)
-            own = slice(of[lo], of[hi])
-            shard = Shard(ids[lo:hi], d[own] - lo, t[own], impact[own])
+            docs = order[lo:hi]
+            n = at[docs + 1] - at[docs]
+            d_own = np.repeat(np.arange(hi - lo), n)
+            own_ = np.repeat(at[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shard = Shard(ids[lo:hi], d_own, t[own_].astype(np.int64), impact[own_])
             place[shard.words] = np.arange(len(shard.words))
             for chunk in q.chunks:
                 search_shard(shard, q, chunk, best, s, place, columns[chunk.cluster])
@@ -436,20 +455,15 @@ def own(x):
     return x.view(x.dtype.type) if isinstance(x, np.ndarray) else x
 
 
-def search_block(index: DataFrame, q: Queries, k: int, k1: float, b: float) -> DataFrame:
-    """query_id, rank, doc_id, score of a block of queries in some documents of the index, in the shared folder.
-
-    The broadcast holds plain arrays, which need none of this package's classes, and ends with the pass."""
-    sent = index.sparkSession.sparkContext.broadcast((q.ids, q.words, q.idf, [tuple(vars(c).values()) for c in q.chunks], q.frequent, q.mean_length))
-    floor = q.floor
+def search_block(index: DataFrame, sent: Broadcast, floor: np.ndarray, k: int, k1: float, b: float, so_far: DataFrame | None) -> DataFrame:
+    """query_id, rank, doc_id, score of a block of queries in some documents of the index and those found so far, in the shared folder."""
 
     def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, idf, chunks, frequent, mean_length = sent.value
         yield from search_rows(batches, Queries(ids, words, own(idf), [Chunk(*map(own, c)) for c in chunks], frequent, mean_length, own(floor)), k, k1, b)
 
-    best = keep(ranked(index.mapInArrow(pass_, "query_id long, doc_id long, score double"), k))
-    sent.destroy()
-    return best
+    hits = index.mapInArrow(pass_, "query_id long, doc_id long, score double")
+    return keep(ranked(hits if so_far is None else hits.unionAll(so_far.drop("rank")), k))
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -457,17 +471,21 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 16_384, frequent: int = 1024, clusters: int = 6, longest: int = 32) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 16_384, frequent: int = 1024, clusters: int = 6, tiers: tuple[int, ...] = (256, 16)) -> DataFrame:
     """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score."""
     ship(__name__, WordHasher.__module__)
+    with setting(docs.sparkSession, *READER_ROWS):
+        return found_in_tiers(docs, queries, k, k1, b, query_block, frequent, clusters, tiers)
+
+
+def found_in_tiers(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: float, query_block: int, frequent: int, clusters: int, tiers: tuple[int, ...]) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored = keep(texts.mapInArrow(index_rows, INDEX))
+    stored = keep(texts.mapInArrow(index_rows, INDEX), **SMALL_GROUPS)
     index = stored.where("NOT df")
     frequencies = keep(stored.where("df").mapInArrow(df_rows, "word long, df long, total long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
     own = keep(queries.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(query_rows, "id long, words array<long>"))
     stats = frequencies.where("word IS NULL").first()
-    long = index.agg(F.percentile_approx("length", 1 - 1 / longest)).first()[0]
-    is_long = F.col("length") >= F.lit(long if long is not None else 0)
+    parts = tiers_of(index, stats.df, tiers) if stats else []
     n_blocks = -(-own.count() // query_block) if stats else 0
     found = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     for block in range(n_blocks):
@@ -475,11 +493,32 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         words = rows.select(F.explode("words").alias("word")).distinct()
         df = frequencies.join(words, "word").select("word", "df").toArrow()
         q = prepared(rows.select("id", "words").toArrow(), df, stats.df, stats.total / max(1, stats.df), frequent, clusters)
-        first = search_block(index.where(is_long), q, k, k1, b)
-        kth = first.where(F.col("rank") == k).select("query_id", "score").toArrow()
-        by_id = np.argsort(q.ids)
-        at = by_id[np.searchsorted(q.ids, kth.column("query_id").to_numpy(), sorter=by_id)]
-        q.floor[at] = np.maximum(q.floor[at], kth.column("score").to_numpy() - 10.0**-DIGITS)
-        both = first.unionAll(search_block(index.where(~is_long), q, k, k1, b)).drop("rank")
-        found = found.unionAll(ranked(both, k))
+        # plain arrays, which need none of this package's classes; removed before the next block's are made
+        sent = docs.sparkSession.sparkContext.broadcast((q.ids, q.words, q.idf, [tuple(vars(c).values()) for c in q.chunks], q.frequent, q.mean_length))
+        by_id, floor, best = np.argsort(q.ids), q.floor, None
+        del q.chunks[:]
+        for part in parts:
+            if best is not None:
+                kth = best.where(F.col("rank") == k).select("query_id", "score").toArrow()
+                at = by_id[np.searchsorted(q.ids, kth.column("query_id").to_numpy(), sorter=by_id)]
+                floor[at] = np.maximum(floor[at], kth.column("score").to_numpy() - 10.0**-DIGITS)
+            best = search_block(part, sent, floor, k, k1, b, best)
+        sent.destroy()
+        found = found.unionAll(best)
     return found
+
+
+def tiers_of(index: DataFrame, n: int, tiers: tuple[int, ...]) -> list[DataFrame]:
+    """The index in parts, the longest documents first: one in ``tiers[0]``, one in ``tiers[1]``, ..., the rest.
+
+    Documents of equal length are dealt by a hash of their ids. The small first parts are shuffled. A task has some thousand documents, however
+    the files are cut, so that its own k-th best scores soon keep it from handing on what others have better."""
+    weight = F.col("length") + F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(65_536)), F.lit(0)) / 65_536
+    at = index.agg(F.percentile_approx(weight, [1 - 1 / t for t in tiers], 100_000)).first()[0]
+    parts, above = [], None
+    for t, least in zip(tiers, at, strict=True):
+        own = (weight >= least) & (F.lit(True) if above is None else weight < above)
+        tasks = max(1, n // t // (TASK_DOCS // 4))
+        parts.append(index.where(own).repartition(tasks, F.monotonically_increasing_id()).coalesce(tasks))
+        above = least
+    return [*parts, (index.where(weight < above) if above is not None else index).coalesce(max(1, n // TASK_DOCS))]

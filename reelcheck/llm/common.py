@@ -7,6 +7,8 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,18 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again.
+def keep(df: DataFrame, **options: str) -> DataFrame:
+    """Writes ``df`` as Parquet (with options of its writer) into the shared folder and reads it again.
 
     It cuts the lineage, so nothing before it runs twice, and the rows outlive any executor.
     The folder is removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def sent(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """The side of a join that goes to all executors if it has at most so many rows; else Spark shuffles both sides.
 
@@ -74,9 +87,9 @@ def crc_rest(col: str | Column, by: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(by)).cast("int")
 
 
-#: Rows of an Arrow batch: texts can be long, so batches are smaller than Spark's default.
-BATCH_ROWS = 1000
-BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch: texts can be long, so batches are smaller than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_KEY, BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(*names: str) -> None:
@@ -84,5 +97,6 @@ def ship(*names: str) -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and int(spark.conf.get(BATCH_KEY, "10000")) in (0, 10_000):  # not set by the user
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+        spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
     for name in names:
         cloudpickle.register_pickle_by_value(sys.modules[name])
