@@ -82,8 +82,13 @@ def bits_per_second(n_bytes: str, ms: str) -> str:
     return f"(cast({n_bytes} AS decimal(38,0)) * 8000 div nullif({ms}, 0))"
 
 
-def packed_language(code: str) -> str:
-    """Three letters of five bits each; null below 0x400 or for anything but letters, and for und."""
+def packed_letters(code: str) -> str:
+    """Three letters of five bits each; null below 0x400 or for anything but letters."""
     letters = [f"(shiftright({code}, {s}) & 31)" for s in (10, 5, 0)]
     word = "concat(" + ", ".join(f"char(96 + {x})" for x in letters) + ")"
-    return f"CASE WHEN {code} >= 1024 AND " + " AND ".join(f"{x} BETWEEN 1 AND 26" for x in letters) + f" AND {word} <> 'und' THEN {word} END"
+    return f"CASE WHEN {code} >= 1024 AND " + " AND ".join(f"{x} BETWEEN 1 AND 26" for x in letters) + f" THEN {word} END"
+
+
+def packed_language(code: str) -> str:
+    """The letters as a language; null for und, too."""
+    return f"nullif({packed_letters(code)}, 'und')"

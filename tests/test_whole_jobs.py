@@ -61,3 +61,12 @@ def test_unexpected_words_keeps_pairs_with_long_lists(spark, tmp_path):
             want[c * 1000 + t] = (len(strange), " ".join(sorted(list(dict.fromkeys(strange))[:50])))
     got = {r.asset_id: (r.unexpected_total, r.unexpected_words) for r in measure_queries.QUERIES["unexpected_words"](spark, str(tmp_path)).collect()}
     assert got == want and got[1000][0] == 72 and len(got[1000][1].split()) == 50
+
+
+def test_packed_language_gives_what_its_sql_gives(spark, tmp_path):
+    """All codes of 15 bits, und and null among them."""
+    spark.range(32_769).selectExpr("id AS l_orderkey", "CASE WHEN id < 32768 THEN id END AS l_partkey").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = Counter(db.execute(measure_queries.ORACLES["packed_language"]).fetchall())
+    assert Counter(map(tuple, measure_queries.QUERIES["packed_language"](spark, str(tmp_path)).collect())) == want and "und" in {w for _, _, w in want}
