@@ -14,7 +14,8 @@ Training covers all tokens of the training texts.  Texts are dealt by a hash of
 ``shard_tokens`` tokens (at most ``trainers`` shards); a copy of the model is trained on each shard in the order of the hash,
 copies are averaged by their tokens, slice by slice, and the next round goes on from the average (a short first
 round brings the copies in line).  So the model depends on the texts alone, not on files, partitions or tasks.
-Scores use batched matrix products over the distinct contexts of a batch, and over the tokens of a bucket.
+A score is the sum of a part of either context, so sums over classes or members are products of the parts' exponentials: for all
+pairs of classes they are one matrix product, for members the exponentials are worked out once for a batch's distinct contexts.
 
 The counts of the ``known`` most frequent words go to all tasks (a bounded table); those of rarer words never
 leave Spark: texts' rare words are joined with them.
@@ -41,6 +42,10 @@ from .textbytes import Lookup, WordHasher, mixed, runs, trim
 
 #: Texts that are worked on at once, and cells of the model that are averaged at once.
 ROWS, SLICE = 512, 1 << 16
+#: Members of a bucket that are worked on at once (for ROWS tokens their cells fit in a core's cache).
+COLUMNS = 256
+#: Exponentials of numbers up to this one, and their products, are far from single precision's limits.
+SAFE = 40.0
 END = 0
 
 
@@ -97,41 +102,84 @@ class Model:
         contexts = c - words.buckets + m
         return Model(make(c), make(c), make(c), np.log(words.noise).astype(np.float32), make(contexts), make(contexts), make(m), np.log(words.inner).astype(np.float32))
 
-    def log_probabilities(self, before: np.ndarray, before2: np.ndarray, target: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Normalised log10 probabilities; sums over all classes are worked out once for each distinct context."""
-        c = len(self.bias)
-        key = before * c + before2
-        seen = np.zeros(c * c, bool)
-        seen[key] = True
-        distinct = np.flatnonzero(seen)
-        place = np.zeros(c * c, np.int32)
-        place[distinct] = np.arange(len(distinct))
-        total = np.empty(len(distinct), np.float32)
-        q = self.first[distinct // c] + self.second[distinct % c]
-        for i in range(0, len(distinct), block):
-            s = q[i : i + block] @ self.word.T
-            s += self.bias
-            top = s.max(1)
-            s -= top[:, None]
-            total[i : i + block] = np.log(np.exp(s, out=s).sum(1)) + top
-        at = place[key]
-        own = np.empty(len(key), np.float32)
-        for i in range(0, len(key), 65536):
-            own[i : i + 65536] = np.einsum("ij,ij->i", q[at[i : i + 65536]], self.word[target[i : i + 65536]])
-        return (own + self.bias[target] - total[at]).astype(np.float64) / math.log(10)
+    def log_probabilities(self, before: np.ndarray, before2: np.ndarray, target: np.ndarray, table: np.ndarray | None = None, block: int = 32_768) -> np.ndarray:
+        """Normalised log10 probabilities; ``table``: normalisers()."""
+        table, out = self.normalisers() if table is None else table, np.empty(len(target))
+        for i in range(0, len(target), block):
+            a, b, t = before[i : i + block], before2[i : i + block], target[i : i + block]
+            out[i : i + block] = np.einsum("ij,ij->i", self.first[a] + self.second[b], self.word[t]) + self.bias[t] - table[a, b]
+        return out / math.log(10)
 
+    def normalisers(self) -> np.ndarray:
+        """The logarithm of the sum over all classes for every pair of contexts.
+
+        A score is a sum of a part of either context, so the sums of all pairs are one matrix product of the parts' exponentials."""
+        word = self.word.astype(np.float64).T
+        one, two = self.first @ word, self.second @ word + self.bias
+        top, top2 = one.max(1), two.max(1)
+        total = np.exp(one - top[:, None]) @ np.exp(two - top2[:, None]).T
+        with np.errstate(divide="ignore"):
+            table = np.log(total) + top[:, None] + top2
+        lost = total < 1e-250  # parts so far apart that their product is too small
+        for i in np.flatnonzero(lost.any(1)):
+            s = one[i] + two[lost[i]]
+            top = s.max(1)
+            table[i, lost[i]] = np.log(np.exp(s - top[:, None]).sum(1)) + top
+        return table.astype(np.float32)
 
     def log_members(self, before: np.ndarray, before2: np.ndarray, member: np.ndarray, bucket_: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of members in their buckets: one matrix product for each bucket."""
-        out = np.empty(len(member), np.float64)
+        """Normalised log10 probabilities of members in their buckets.
+
+        Exponentials are worked out once for each distinct context and member; a token's sum is the product of its contexts' rows."""
+        own, total = np.empty(len(member), np.float32), np.zeros(len(member), np.float32)
+        for i in range(0, len(member), ROWS):
+            at = slice(i, i + ROWS)
+            own[at] = np.einsum("ij,ij->i", self.first_in[before[at]] + self.second_in[before2[at]], self.member[member[at]]) + self.bias_in[member[at]]
         order = np.argsort(bucket_, kind="stable")
         of = np.searchsorted(bucket_[order], np.arange(len(first)))
+        longest = [float(np.sqrt(np.einsum("ij,ij->i", a, a).max(initial=0))) for a in (self.first_in, self.second_in)]
+        cells = np.empty((2, ROWS * COLUMNS), np.float32)
         for b in np.flatnonzero(of[1:] > of[:-1]):
-            at = order[of[b] : of[b + 1]]
-            s = (self.first_in[before[at]] + self.second_in[before2[at]]) @ self.member[first[b] : first[b + 1]].T + self.bias_in[first[b] : first[b + 1]]
-            s -= s.max(1)[:, None]
-            out[at] = s[np.arange(len(at)), member[at] - first[b]] - np.log(np.exp(s).sum(1))
-        return out / math.log(10)
+            at, lo, hi = order[of[b] : of[b + 1]], first[b], first[b + 1]
+            vectors, bias = self.member[lo:hi], self.bias_in[lo:hi]
+            vector, middle = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())), (bias.max() + bias.min()) / 2
+            if max(longest[0] * vector, longest[1] * vector + bias.max() - middle) > SAFE:  # products could be lost
+                total[at] = self.log_sums(before[at], before2[at], vectors, bias)
+                continue
+            (one, i), (two, j) = places(before[at], len(self.first_in)), places(before2[at], len(self.second_in))
+            one, two, sums = self.first_in[one], self.second_in[two], np.zeros(len(at), np.float32)
+            for k in range(0, hi - lo, COLUMNS):
+                w = vectors[k : k + COLUMNS].T
+                e, f = one @ w, two @ w
+                f += bias[k : k + COLUMNS] - middle
+                np.exp(e, out=e)
+                np.exp(f, out=f)
+                for r in range(0, len(at), ROWS):
+                    x, y = (c[: len(i[r : r + ROWS]) * w.shape[1]].reshape(-1, w.shape[1]) for c in cells)
+                    np.take(e, i[r : r + ROWS], axis=0, out=x, mode="clip")
+                    np.take(f, j[r : r + ROWS], axis=0, out=y, mode="clip")
+                    sums[r : r + ROWS] += np.einsum("ij,ij->i", x, y)
+            total[at] = np.log(sums) + middle
+        return (own - total).astype(np.float64) / math.log(10)
+
+    def log_sums(self, before: np.ndarray, before2: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums of exponentials over some members, whatever their size."""
+        out, step = np.empty(len(before)), max(1, ROWS * COLUMNS // len(bias))
+        for i in range(0, len(before), step):
+            s = (self.first_in[before[i : i + step]] + self.second_in[before2[i : i + step]]).astype(np.float64) @ vectors.T + bias
+            top = s.max(1)
+            out[i : i + step] = np.log(np.exp(s - top[:, None]).sum(1)) + top
+        return out
+
+
+def places(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers (below n) in order, and the place of each among them."""
+    there = np.zeros(n, bool)
+    there[x] = True
+    own = np.flatnonzero(there)
+    place = np.empty(n, np.int64)
+    place[own] = np.arange(len(own))
+    return own, place[x]
 
 
 class Trainer:
@@ -344,12 +392,12 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts
 
 
 def score_rows(batches: Iterator[pa.RecordBatch], words: Words, model: Model) -> Iterator[pa.RecordBatch]:
-    reader, known = Reader(words), Lookup(words.known.view(np.uint64))
+    reader, known, table = Reader(words), Lookup(words.known.view(np.uint64)), model.normalisers()
     log_known = np.log10(words.counts[np.argsort(words.known.view(np.uint64))] + 1.0)
     for part, h, lead, offsets in tokens(batches, 2):
         n = part.num_rows
         s = reader.sequence(h, lead, offsets)
-        log_p = model.log_probabilities(s.before, s.before2, s.target)
+        log_p = model.log_probabilities(s.before, s.before2, s.target, table)
         inside = np.flatnonzero(s.member >= 0)
         context, context2, member, of = s.inner(inside, reader.n_short)
         log_p[inside] += model.log_members(context, context2, member, of, words.first)

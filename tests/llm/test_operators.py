@@ -455,6 +455,50 @@ def test_probabilities_sum_to_one():
     assert inner[:4] == pytest.approx(np.exp(s) / np.exp(s).sum(), abs=1e-5)
 
 
+def model_of(first: np.ndarray, classes: int, size: float = 0.5) -> lblm.Model:
+    rng = np.random.default_rng(3)
+    make = lambda *n: rng.normal(0, size, n).astype(np.float32)
+    contexts = classes - len(first) + 1 + first[-1]
+    return lblm.Model(make(classes, 4), make(classes, 4), make(classes, 4), make(classes), make(contexts, 4), make(contexts, 4), make(first[-1], 4), make(first[-1]))
+
+
+def test_sums_of_repeated_contexts_are_worked_out_once(monkeypatch):
+    first, n, rng = np.array([0, 300, 310]), 20_000, np.random.default_rng(5)
+    model, cells, exp = model_of(first, 12), [0], np.exp
+
+    def counted(x, *more, **options):
+        cells[0] += np.size(x)
+        return exp(x, *more, **options)
+
+    monkeypatch.setattr(lblm.np, "exp", counted)
+    before, before2, member = rng.integers(0, 5, n), rng.integers(0, 5, n), rng.integers(0, 310, n)
+    inner = model.log_members(before, before2, member, (member >= 300).astype(np.int64), first)
+    model.log_probabilities(before, before2, rng.integers(0, 12, n))
+    monkeypatch.undo()
+    assert cells[0] <= 2 * 5 * 310 + 2 * 12 * 12  # not tokens or pairs of contexts, times members
+    for t in range(0, n, 500):
+        lo, hi = (0, 300) if member[t] < 300 else (300, 310)
+        s = (model.first_in[before[t]] + model.second_in[before2[t]]).astype(float) @ model.member[lo:hi].T + model.bias_in[lo:hi]
+        assert inner[t] == pytest.approx((s[member[t] - lo] - np.log(np.exp(s).sum())) / math.log(10), abs=1e-4)
+
+
+@pytest.mark.parametrize("size", [0.5, 6.0, 25.0])
+def test_probabilities_of_far_scores(size):
+    """Also where a part's exponential alone is beyond single or double precision."""
+    first = np.array([0, 300, 310])
+    model = model_of(first, 12, size)
+    before, before2, member = np.arange(200) % 7, np.arange(200) % 11, np.arange(200) * 3 % 310
+    of, target = (member >= 300).astype(np.int64), np.arange(200) % 12
+    inner, outer = model.log_members(before, before2, member, of, first), model.log_probabilities(before, before2, target)
+    for t in range(200):
+        for got, q, w, bias, own in (
+            (inner[t], model.first_in[before[t]].astype(float) + model.second_in[before2[t]], model.member[first[of[t]] : first[of[t] + 1]], model.bias_in[first[of[t]] : first[of[t] + 1]], member[t] - first[of[t]]),
+            (outer[t], model.first[before[t]].astype(float) + model.second[before2[t]], model.word, model.bias, target[t]),
+        ):
+            s = w.astype(float) @ q + bias
+            assert got == pytest.approx((s[own] - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10), abs=1e-3, rel=1e-5)
+
+
 def test_scores_depend_on_texts_alone(spark):
     rows = [r for r in corpus(300, seed=9) if r[1]]
     docs, held = docs_of(spark, rows), crc_rest("doc_id", 7) == 2
