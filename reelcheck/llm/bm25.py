@@ -144,7 +144,7 @@ def df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             part = batch.slice(i, 1)
-            words, df = (np.frombuffer(text_bytes(part.column(c))[0], kind) for c, kind in ((2, np.int64), (3, np.int32)))
+            words, df = (np.frombuffer(part.column(c)[0].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.int32)))
             n = pa.array([part.column(0)[0].as_py()], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), n, part.column(1).cast(pa.int64())], names=["word", "df", "total"])
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(words), np.int64))], names=["word", "df", "total"])

@@ -197,6 +197,17 @@ def test_search_odd_rows(spark):
     assert bm25.search(docs.limit(0), q).count() == 0 and bm25.search(docs, q.limit(0)).count() == 0
 
 
+def test_search_counts_frequencies_once(spark):
+    """So many documents that a task has several parts of the index, whose frequencies reach Python together."""
+    n = 9000
+    docs = spark.range(0, n, 1, 1).selectExpr("id AS doc_id", "concat('all w', id % 30, ' x', id) AS text")
+    q = spark.createDataFrame([(1, "w7 all"), (2, "x8000")], "id long, text string")
+    idf = {df: math.log(1 + (n - df + 0.5) / (df + 0.5)) for df in (1, n // 30, n)}
+    got = [(r.query_id, r.doc_id, r.score) for r in bm25.search(docs, q, k=3).orderBy("query_id", "rank").collect()]
+    assert [x[:2] for x in got] == [(1, 7), (1, 37), (1, 67), (2, 8000)]
+    assert [x[2] for x in got] == pytest.approx([idf[n // 30] + idf[n]] * 3 + [idf[1]], abs=1e-8)
+
+
 # decontamination
 
 
