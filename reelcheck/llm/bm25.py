@@ -1,27 +1,23 @@
-"""Exact BM25 top-k search: a stored inverted index in shards, block-max WAND for batches of queries, exact merge.
+"""Exact BM25 top-k search: a stored inverted index in shards, searched list by list for batches of queries, exact merge.
 
 score(q, d) = sum over the distinct words t of q of idf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / mean length)),
 idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)), with N, df and the mean length of all documents, so that scores of all
 shards compare and their local top k merge to the exact one.
 
-1. The index is built once and written to the shared folder: of each document its words (hashes, in order) and their
-   counts; beside it the document frequencies of some thousand documents each, which Spark sums.
-2. Queries are worked on in blocks of at most ``query_block``, each with a pass over the index; the words, frequencies and lists of
-   a block go out as a broadcast that is removed after its pass, so neither driver nor tasks ever hold two.
-3. Queries with like words are brought together in chunks of some hundred (k-means on their costliest words), and each
-   cluster has its own frequent words: those whose lists are so long that a matrix product is the cheapest way through them.
-4. A task orders the documents it has read by cluster and weight, so that blocks of documents are alike and bounds are tight.
-   Of each shard it turns the postings round to lists by word.  As in WAND, the lists of the other words are essential: they
-   are walked through for every query that has the word.  The frequent words' lists are skipped by block: what they can add to a document is at
-   most the sum of the block maxima of the query's words, and at most the sum of the document's own frequent words.  Only where the essential part plus
-   that bound reaches the k-th best score so far they are read, for all such queries of a chunk at once, in single precision with
-   a margin beyond its rounding; what still reaches the k-th best score is scored in double precision.
-5. Documents are searched in tiers, the longest first, since most of the best hits are among them: one document in 256, one in 16,
-   the rest.  The k-th best scores so far are what a hit of the next tier must reach, so a task hands on no more than what is better,
-   however many tasks there are.
-6. The tasks' local top k are merged by one ranking.
-
-The clusters, the order of documents and their tiers don't change any result, whatever they come to.
+1. The index is built once and written to the shared folder: a row for each shard of some thousand documents has the lists of its
+   words (hashes, in order), places of documents and counts. Documents with like words (k-means on the shard's most frequent ones)
+   stand together, so that the lists of a language's words are dense where its documents are. List lengths, which Spark sums, are the document frequencies.
+2. Queries are worked on in blocks of at most ``query_block`` (fewer if they are long), each with a pass over the index; words and frequencies of
+   a block are one row that Spark broadcasts, so neither driver nor tasks ever hold two.
+3. The search itself (``KERNEL``, Java that the driver compiles) takes a shard and a block: query by query it adds the impacts of the query's lists in the shard
+   to a row of scores that stays in the core's cache. Dense lists are rows of their documents' range, added many at a time; the others are walked through.
+   A query whose words' highest impacts in the shard don't come to its k-th best score so far has no hit there and is passed over.
+   Sums are in single precision with a margin beyond their rounding; what may be among the k best and reaches the k-th best so far is scored in double precision.
+4. Documents are searched in tiers, the longest first, since most of the best hits are among them: one document in 256, one in 16,
+   the rest.  The k-th best scores so far are what a hit of the next tier must reach, and no shard hands on more than k hits a query.
+5. The shards' k best are merged by one ranking.
+
+The clusters, the order of documents, their shards and their tiers don't change any result, whatever they come to.
 
 Defined results: a query without words has no row; documents that share no word with a query are no hits, so a
 query may have fewer than k; ties go to the smaller id, null ids last; a document finds itself; rows of one query
@@ -36,49 +32,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import jvm
 from .common import keep, setting, ship
-from .textbytes import Lookup, WordHasher, distinct, runs, text_bytes, trim
-
-#: Documents of a shard and of a block; queries of a chunk (a chunk's scores of a shard fit in a core's cache).
-SHARD, BLOCK, CHUNK = 512, 64, 512
-#: Documents and postings that are ordered at once; postings that are added at once; hits that wait for a merge.
-GROUP_ROWS, GROUP_POSTINGS, PIECE, WAITING = 2048, 1_000_000, 40_000, 60_000
-#: A word is frequent in a cluster if a chunk and a shard share so many pairs of a query and a document with it.
-WORTH = 200
-#: Scores are compared and returned to this precision; single precision is trusted up to this share of a score.
-DIGITS, MARGIN = 9, 2e-4
+from .textbytes import WordHasher, distinct, runs, text_bytes, trim
+
+#: Documents and postings of a shard (its places are two bytes each, a row of its scores fits in a core's first cache).
+SHARD, POSTINGS = 4096, 2_000_000
+#: Documents whose words are hashed at once; shards of fewer documents are not clustered.
+SLICE, LEAST_CLUSTERED = 512, 512
+#: Words of a block's queries, on average.
+BLOCK_WORDS = 2_000_000
+#: Hits that wait for a merge.
+WAITING = 300_000
+#: Scores are compared and returned to this precision.
+DIGITS = 9
 LAST = np.iinfo(np.int64).max
 #: Documents of a task in the last tier (a quarter of it in those before).
 TASK_DOCS = 16_384
 #: The index's rows are wide, so its row groups and the readers' batches are small.
-SMALL_GROUPS, READER_ROWS = {"parquet.block.size": str(16 << 20)}, ("spark.sql.parquet.columnarReaderBatchSize", "256")
-INDEX = "doc_id long, length long, words binary, counts binary, df boolean"
-
-
-@dataclass
-class Chunk:
-    """Up to CHUNK queries of one cluster."""
-
-    first: int  # the place of its first query
-    n: int
-    cluster: int
-    words: np.ndarray  # places of its essential words, in order
-    starts: np.ndarray  # where each word's queries begin in of_word
-    of_word: np.ndarray  # queries (from 0), times SHARD
-    dense: np.ndarray  # query x frequent word of the cluster, 0/1, a byte each
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+READER_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+#: docs and lengths by place; words (sorted hashes), where their lists start, the lists' places and counts.
+INDEX = "n long, total long, docs binary, lengths binary, words binary, starts binary, places binary, counts binary"
+BLOCK = "ids binary, from binary, own binary, hashes binary, code binary, idf binary, floor binary, settings binary"
 
 
 @dataclass
 class Queries:
+    """A block of queries. Its words are told by codes, the most frequent first, so that what is looked up most stands together."""
+
     ids: np.ndarray
-    words: np.ndarray  # sorted hashes (unsigned) of all words of the queries
-    idf: np.ndarray
-    chunks: list[Chunk]
-    frequent: list[np.ndarray]  # of each cluster, places of its frequent words
+    starts: np.ndarray  # where each query's words begin in own
+    own: np.ndarray  # codes
+    words: np.ndarray  # sorted hashes (signed) of all words of the queries
+    code: np.ndarray  # of each
+    idf: np.ndarray  # of each
     mean_length: float
     floor: np.ndarray  # what a hit must reach
 
@@ -87,34 +78,71 @@ class Queries:
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Up to SHARD rows at a time, and fewer where they hold more than 64 MB."""
+    """Up to SLICE rows at a time, and fewer where they hold more than 64 MB."""
     _, of = text_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = min(at + SHARD, max(at + 1, int(np.searchsorted(of, of[at] + (64 << 20), "right")) - 1), batch.num_rows)
+        to = min(at + SLICE, max(at + 1, int(np.searchsorted(of, of[at] + (64 << 20), "right")) - 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
 
 
-def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> a row for each document, and rows (df true) of the document frequencies of some thousand of them."""
+def index_rows(batches: Iterator[pa.RecordBatch], clusters: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, text -> a row for each shard."""
     hasher = WordHasher("alnum")
     with np.errstate(over="ignore"):
-        waiting, n_docs, n_words = [], 0, 0
+        waiting, n_docs, n_postings = [], 0, 0
         for batch in batches:
             for part in slices(batch, 1):
                 h, rows = hasher.column(part.column(1))
                 of = runs(rows, part.num_rows)
                 words, counts, ends = counted(h, of)
-                yield index_batch(part.column(0).cast(pa.int64()), np.diff(of), words, counts, ends, False)
-                waiting.append(words)
-                n_docs, n_words = n_docs + part.num_rows, n_words + len(h)
-                if n_docs >= GROUP_ROWS or sum(map(len, waiting)) >= GROUP_POSTINGS:
-                    yield df_batch(waiting, n_docs, n_words)
-                    waiting, n_docs, n_words = [], 0, 0
+                waiting.append((part.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False), np.diff(of), np.diff(ends), words, counts))
+                n_docs, n_postings = n_docs + part.num_rows, n_postings + len(words)
+                if n_docs + SLICE > SHARD or n_postings >= POSTINGS:
+                    yield shard_row(waiting, clusters)
+                    waiting, n_docs, n_postings = [], 0, 0
             trim()
         if n_docs:
-            yield df_batch(waiting, n_docs, n_words)
+            yield shard_row(waiting, clusters)
+
+
+def shard_row(waiting: list[tuple[np.ndarray, ...]], clusters: int) -> pa.RecordBatch:
+    ids, lengths, sizes, h, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
+    n, d = len(ids), np.repeat(np.arange(len(ids)), sizes)
+    words, t = np.unique(h.view(np.int64), return_inverse=True)
+    df = np.bincount(t, minlength=len(words))
+    order = np.lexsort((-lengths, alike(t, d, n, np.log(1 + (n - df + 0.5) / (df + 0.5)), df, clusters)))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    key = t * n + place[d]
+    by_word = np.argsort(key)
+    columns = ids[order], lengths[order].astype(np.int64), words, np.append(0, np.cumsum(df)).astype(np.int32), (key[by_word] % n).astype(np.uint16), counts[by_word].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([lengths.sum()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=INDEX.replace(" long", "").replace(" binary", "").split(", "))
+
+
+def alike(t: np.ndarray, who: np.ndarray, n: int, idf: np.ndarray, work: np.ndarray, clusters: int, features: int = 256, rounds: int = 6) -> np.ndarray:
+    """Clusters of documents with like words (t: words, who: their documents): spherical k-means on the words of most work, from the farthest points on, always the same."""
+    most = np.argsort(-work, kind="stable")[:features]
+    column = np.full(len(work), -1)
+    column[most] = np.arange(len(most))
+    x = np.zeros((n, max(1, len(most))), np.float32)
+    c = column[t]
+    x[who[c >= 0], c[c >= 0]] = idf[t[c >= 0]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    if n <= LEAST_CLUSTERED:
+        return np.zeros(n, np.int64)
+    filled = np.count_nonzero(x, axis=1)
+    some = np.flatnonzero(filled >= np.median(filled))  # short documents are far from all
+    centres = [x[some[0]]]
+    for _ in range(clusters - 1):
+        centres.append(x[some[np.argmin(np.max(x[some] @ np.stack(centres).T, axis=1))]])
+    centre = np.stack(centres)
+    for _ in range(rounds):
+        own = np.argmax(x @ centre.T, axis=1)
+        centre = np.stack([x[own == a].sum(0) if (own == a).any() else centre[a] for a in range(clusters)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return np.argmax(x @ centre.T, axis=1)
 
 
 def counted(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,25 +157,13 @@ def counted(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return h[at], np.diff(np.append(at, len(h))).astype(np.int32), np.searchsorted(at, of)
 
 
-def index_batch(ids: pa.Array, length: np.ndarray, words: np.ndarray, counts: np.ndarray, ends: np.ndarray, df: bool) -> pa.RecordBatch:
-    parts = [pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x, size in ((words, 8), (counts, 4))]
-    return pa.RecordBatch.from_arrays([ids, pa.array(length.astype(np.int64)), *parts, pa.array(np.full(len(length), df))], names=["doc_id", "length", "words", "counts", "df"])
-
-
-def df_batch(waiting: list[np.ndarray], n_docs: int, n_words: int) -> pa.RecordBatch:
-    words, df = np.unique(np.concatenate(waiting), return_counts=True)
-    return index_batch(pa.array([n_docs], pa.int64()), np.array([n_words]), words, df.astype(np.int32), np.array([0, len(words)]), True)
-
-
 def df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frequencies as rows (word, df); word null: documents and words."""
+    """n, total, words, starts -> the shards' frequencies as rows (word, df); word null: documents and words."""
     for batch in batches:
         for i in range(batch.num_rows):
-            part = batch.slice(i, 1)
-            words, df = (np.frombuffer(part.column(c)[0].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.int32)))
-            n = pa.array([part.column(0)[0].as_py()], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), n, part.column(1).cast(pa.int64())], names=["word", "df", "total"])
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(words), np.int64))], names=["word", "df", "total"])
+            words, starts = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), batch.column(0).slice(i, 1), batch.column(1).slice(i, 1)], names=["word", "df", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.diff(starts).astype(np.int64)), pa.array(np.zeros(len(words), np.int64))], names=["word", "df", "total"])
 
 
 # Queries
@@ -163,306 +179,275 @@ def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.view(np.int64)))], names=["id", "words"])
 
 
-def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float, frequent: int, clusters: int) -> Queries:
-    """The block of queries (id, words) as the tasks need it, with the document frequencies of its words (word, df)."""
+def prepared(rows: pa.Table, df: pa.Table, n: int, mean_length: float) -> Queries:
+    """The block of queries (id, words) as the search needs it, with the document frequencies of its words (word, df)."""
     ids, place = np.unique(rows.column("id").to_numpy(), return_inverse=True)
-    h, count = df.column("word").to_numpy().view(np.uint64), df.column("df").to_numpy().astype(np.float64)
+    h, count = df.column("word").to_numpy(), df.column("df").to_numpy().astype(np.float64)
     order = np.argsort(h)
     h, count = h[order], count[order]
+    code = np.empty(len(h), np.int64)
+    code[np.argsort(-count, kind="stable")] = np.arange(len(h))
     words = rows.column("words").combine_chunks()
-    sizes, own = np.diff(words.offsets.to_numpy()), words.values.to_numpy().view(np.uint64)
+    sizes, own = np.diff(words.offsets.to_numpy()), words.values.to_numpy()
     at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
     there = h[at] == own if len(h) else np.zeros(len(own), bool)  # words that no document has can't add to a score
-    pairs = distinct(at[there] * np.int64(max(1, len(ids))) + np.repeat(place, sizes)[there])
-    t, who = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-    idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
-    cluster = alike(t, who, len(ids), idf, np.bincount(t, minlength=len(h)) * count, clusters)
-    n_words = np.bincount(who, minlength=len(ids))
-    order = np.lexsort((np.arange(len(ids)), -n_words, cluster))
-    ids, cluster, rank = ids[order], cluster[order], np.argsort(order)
-    by_query = np.sort(rank[who] * np.int64(len(h) + 1) + t)
-    t, who = by_query % np.int64(len(h) + 1), by_query // np.int64(len(h) + 1)
-    of = runs(who, len(ids))
-    chunks, lists = [], []
-    for a in range(int(cluster.max(initial=-1)) + 1):
-        lo, hi = np.searchsorted(cluster, [a, a + 1])
-        n_chunks = max(1, -(-(hi - lo) // CHUNK))
-        mass = np.bincount(t[of[lo] : of[hi]], minlength=len(h)) / n_chunks * (count * min(1.0, SHARD / max(1, n)))
-        most = np.argsort(-mass, kind="stable")[:frequent]
-        most = np.sort(most[mass[most] >= WORTH])
-        dense_of = np.full(len(h), -1)
-        dense_of[most] = np.arange(len(most))
-        lists.append(most)
-        for first in range(lo, hi, CHUNK):
-            last = min(hi, first + CHUNK)
-            own_t, own_q = t[of[first] : of[last]], who[of[first] : of[last]] - first
-            column = dense_of[own_t]
-            dense = np.zeros((last - first, len(most)), np.uint8)
-            dense[own_q[column >= 0], column[column >= 0]] = 1
-            rest = column < 0
-            by_word = np.sort(own_t[rest] * np.int64(CHUNK) + own_q[rest])
-            word = by_word // CHUNK
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            chunks.append(Chunk(first, last - first, a, word[starts].astype(np.int32), np.append(starts, len(word)).astype(np.int32), (by_word % CHUNK * SHARD).astype(np.int32), dense))
-    return Queries(ids, h, idf, chunks, lists, max(mean_length, 1e-9), np.full(len(ids), 1e-9))
-
-
-def alike(t: np.ndarray, who: np.ndarray, n: int, idf: np.ndarray, work: np.ndarray, clusters: int, features: int = 512, rounds: int = 8) -> np.ndarray:
-    """Clusters of queries with like costly words: spherical k-means from the farthest points on, always the same."""
-    most = np.argsort(-work, kind="stable")[:features]
-    column = np.full(len(work), -1)
-    column[most] = np.arange(len(most))
-    x = np.zeros((n, max(1, len(most))), np.float32)
-    c = column[t]
-    x[who[c >= 0], c[c >= 0]] = idf[t[c >= 0]]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    if n <= CHUNK:
-        return np.zeros(n, np.int64)
-    centres = [x[0]]
-    for _ in range(clusters - 1):
-        centres.append(x[np.argmin(np.max(x @ np.stack(centres).T, axis=1))])
-    centre = np.stack(centres)
-    for _ in range(rounds):
-        own = np.argmax(x @ centre.T, axis=1)
-        centre = np.stack([x[own == a].sum(0) if (own == a).any() else centre[a] for a in range(clusters)])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-    return np.unique(np.argmax(x @ centre.T, axis=1), return_inverse=True)[1]
+    pairs = distinct(np.repeat(place, sizes)[there] * np.int64(len(h) + 1) + code[at[there]])
+    who, own = pairs // np.int64(len(h) + 1), pairs % np.int64(len(h) + 1)
+    return Queries(ids, runs(who, len(ids)).astype(np.int32), own.astype(np.int32), h, code.astype(np.int32), np.log(1 + (n - count + 0.5) / (count + 0.5)), max(mean_length, 1e-9), np.zeros(len(ids)))
 
 
 # The search
 
 
-class Best:
-    """The k best hits of every query so far, and the score that a hit must reach."""
-
-    def __init__(self, floor: np.ndarray, k: int):
-        self.k, self.floor = k, floor.copy()
-        self.score, self.id = np.full((len(floor), k), -np.inf), np.full((len(floor), k), LAST)
-        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n = 0
-
-    def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
-        self.waiting.append((query, np.round(score, DIGITS), doc))
-        self.n += len(query)
-        if self.n >= WAITING:
-            self.merge()
-
-    def merge(self) -> None:
-        if not self.n:
-            return
-        q, s, d = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
-        self.waiting, self.n, k = [], 0, self.k
-        rows = distinct(q)
-        q, s, d = np.concatenate([q, np.repeat(rows, k)]), np.concatenate([s, self.score[rows].ravel()]), np.concatenate([d, self.id[rows].ravel()])
-        order = np.lexsort((d, -s, q))
-        q, s, d = q[order], s[order], d[order]
-        at = np.arange(len(q)) - np.searchsorted(q, q)
-        top = at < k
-        self.score[q[top], at[top]] = s[top]
-        self.id[q[top], at[top]] = d[top]
-        worst = self.score[rows, k - 1]
-        self.floor[rows] = np.maximum(self.floor[rows], np.where(np.isfinite(worst), worst - 10.0**-DIGITS, 0.0))
-
-
-class Shard:
-    """Postings of some documents, turned round: lists by word, and the frequent words' impacts as matrices."""
-
-    def __init__(self, ids: np.ndarray, d: np.ndarray, t: np.ndarray, impact: np.ndarray):
-        order = np.argsort(t * SHARD + d)
-        self.ids, self.d, self.impact, t = ids, d[order], impact[order], t[order]
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        self.words, self.starts, self.of_posting = t[starts], np.append(starts, len(t)), t
-        self.top = np.maximum.reduceat(self.impact, starts) if len(t) else self.impact
-        self.dense: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.double: dict[int, np.ndarray] = {}
-
-    def matrix(self, cluster: int, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Impacts (frequent word x document), their maxima in blocks, their sums by document."""
-        if cluster not in self.dense:
-            f = column[self.of_posting]
-            own = f >= 0
-            impacts = np.zeros((n, SHARD), np.float32)
-            impacts[f[own], self.d[own]] = self.impact[own]
-            self.dense[cluster] = impacts, np.ascontiguousarray(impacts.reshape(n, SHARD // BLOCK, BLOCK).max(2)), (np.bincount(self.d[own], self.impact[own], SHARD) * (1 + MARGIN / 2)).astype(np.float32).reshape(SHARD // BLOCK, BLOCK)
-        return self.dense[cluster]
-
-    def exact(self, cluster: int, column: np.ndarray, n: int) -> np.ndarray:
-        """Impacts (document x frequent word) in double precision."""
-        if cluster not in self.double:
-            f = column[self.of_posting]
-            own = f >= 0
-            self.double[cluster] = np.zeros((SHARD, n))
-            self.double[cluster][self.d[own], f[own]] = self.impact[own]
-        return self.double[cluster]
-
-
-def add_essential(scores: np.ndarray, chunk: Chunk, shard: Shard, place: np.ndarray, least: np.ndarray) -> bool:
-    """Adds the impacts of the essential words that a chunk and a shard share (place: of a word in the shard, or -1).
-
-    Only for the queries whose words' highest impacts in the shard come to ``least``; false if there are none."""
-    j = place[chunk.words]
-    shared = np.flatnonzero(j >= 0)
-    j, first = j[shared], chunk.starts[shared].astype(np.int64)
-    n = chunk.starts[shared + 1] - first
-    at = np.repeat(first - np.cumsum(n) + n, n)
-    at += np.arange(len(at))
-    row, j = chunk.of_word[at].astype(np.int64), np.repeat(j, n)
-    alive = np.bincount(row // SHARD, shard.top[j], chunk.n) >= least
-    if not alive.any():
-        return False
-    if not alive.all():
-        some = np.flatnonzero(alive[row // SHARD])
-        row, j = row[some], j[some]
-    scores[:] = 0.0
-    first, n = shard.starts[j], shard.starts[j + 1] - shard.starts[j]
-    ends, at, flat = np.cumsum(n), 0, scores.reshape(-1)
-    first -= ends - n
-    while at < len(n):
-        done = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + PIECE, "right")))
-        m = n[at:to]
-        posting = np.repeat(first[at:to], m)
-        posting += np.arange(done, int(ends[to - 1]))
-        cell = shard.d[posting]
-        cell += np.repeat(row[at:to], m)
-        np.add.at(flat, cell, shard.impact[posting])
-        at = to
-    return True
-
-
-def search_shard(shard: Shard, q: Queries, chunk: Chunk, best: Best, s: np.ndarray, place: np.ndarray, column: np.ndarray) -> None:
-    s = s[: chunk.n]
-    floor, n_f = best.floor[chunk.first : chunk.first + chunk.n], chunk.dense.shape[1]
-    impacts, maxima, sums = shard.matrix(chunk.cluster, column, n_f)
-    dense = chunk.dense.astype(np.float32)
-    bound = dense @ maxima
-    if not add_essential(s, chunk, shard, place, floor * (1 - MARGIN) - bound.max(1)):
-        return
-    most = s.astype(np.float32).reshape(chunk.n, SHARD // BLOCK, BLOCK)
-    most += np.minimum(bound[:, :, None], sums)
-    in_block = most.max(2) >= (floor * (1 - MARGIN))[:, None]
-    found_q, found_d = [], []
-    for j in np.flatnonzero(in_block.any(0)):
-        who, cols = np.flatnonzero(in_block[:, j]), slice(j * BLOCK, (j + 1) * BLOCK)
-        if 4 * len(who) > 3 * chunk.n:  # nearly all: no copy of their rows
-            who, some = np.arange(chunk.n), dense @ impacts[:, cols]
-            some += s[:, cols]
-        else:
-            some = dense[who] @ impacts[:, cols]
-            some += s[who, cols]
-        top = some.max(1)
-        hit = np.flatnonzero(top >= floor[who] * (1 - MARGIN))
-        if not len(hit):
-            continue
-        who, some = who[hit], some[hit]
-        reached = some >= (floor[who] * (1 - MARGIN))[:, None]
-        crowded = np.flatnonzero(reached.sum(1) > best.k)
-        if len(crowded):  # so many reach at least the k-th of them
-            kth = np.partition(some[crowded], -best.k, axis=1)[:, -best.k] * (1 - MARGIN)
-            best.floor[chunk.first + who[crowded]] = np.maximum(floor[who[crowded]], kth - 10.0**-DIGITS)
-            reached[crowded] = some[crowded] >= (floor[who[crowded]] * (1 - MARGIN))[:, None]
-        r, c = np.nonzero(reached)
-        found_q.append(who[r])
-        found_d.append(c + j * BLOCK)
-    if not found_q:
-        return
-    r, c = np.concatenate(found_q), np.concatenate(found_d)
-    real = c < len(shard.ids)
-    r, c = r[real], c[real]
-    score = s[r, c]
-    if n_f:
-        exact = shard.exact(chunk.cluster, column, n_f)
-        for a in range(0, len(r), SHARD // 2):
-            own = slice(a, a + SHARD // 2)
-            score[own] += np.einsum("ij,ij->i", dense[r[own]], exact[c[own]])
-    kept = (score >= floor[r]) & (score > 0)
-    if kept.any():
-        best.add(chunk.first + r[kept], score[kept], shard.ids[c[kept]])
-
-
-def groups(batches: Iterator[pa.RecordBatch], known: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids and lengths of some thousand documents, and their postings (document, word, count) of known words."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    n = m = 0
-
-    def whole():
-        columns = list(zip(*parts, strict=True))
-        parts.clear()
-        return tuple(np.concatenate(columns.pop(0)) for _ in range(5))
+#: A shard's columns (from docs on) and a block's -> hits: query id, document id and score, 8 bytes each.
+KERNEL = r"""
+import java.nio.ByteBuffer;
+import java.nio.ByteOrder;
+import java.util.Arrays;
+import org.apache.spark.sql.api.java.UDF14;
+
+/** The k best hits in a shard for every query of a block: (query id, document id, score) after one another. */
+public class Bm25Shard implements UDF14 {
+  private static final double DIGITS = 1e9, SPARE = 0.8;
+  private static final int SHARD = 4096, COMMON = 16;
+
+  private static ByteBuffer of(Object x) { return ByteBuffer.wrap((byte[]) x).order(ByteOrder.LITTLE_ENDIAN); }
+  private static int[] ints(Object x) { int[] y = new int[((byte[]) x).length / 4]; of(x).asIntBuffer().get(y); return y; }
+  private static char[] chars(Object x) { char[] y = new char[((byte[]) x).length / 2]; of(x).asCharBuffer().get(y); return y; }
+  private static long[] longs(Object x) { long[] y = new long[((byte[]) x).length / 8]; of(x).asLongBuffer().get(y); return y; }
+  private static double[] doubles(Object x) { double[] y = new double[((byte[]) x).length / 8]; of(x).asDoubleBuffer().get(y); return y; }
+
+  /** Adds the impacts of a list: a posting is the upper bits of a float and, in the lower 12, the document's place. */
+  private static void addList(float[] s, int[] postings, int from, int to) {
+    for (int p = from; p < to; p++) {
+      int x = postings[p];
+      s[x & (s.length - 1)] += Float.intBitsToFloat(x & -4096);
+    }
+  }
+
+  /** Those that reach lim. */
+  private static int reaching(float[] s, int n, float lim, int[] near) {
+    int found = 0;
+    for (int d = 0; d < n; d++) if (s[d] >= lim) near[found++] = d;
+    return found;
+  }
+
+  /** The heap's length-th highest of some scores. */
+  private static float kth(float[] s, int[] near, int some, float[] heap) {
+    Arrays.fill(heap, 0f);
+    for (int f = 0; f < some; f++) {
+      float x = s[near[f]];
+      if (x <= heap[0]) continue;
+      int at = 0;
+      for (int c = 1; c < heap.length; c = 2 * at + 1) {
+        if (c + 1 < heap.length && heap[c + 1] < heap[c]) c++;
+        if (heap[c] >= x) break;
+        heap[at] = heap[c];
+        at = c;
+      }
+      heap[at] = x;
+    }
+    return heap[0];
+  }
+
+  /** What a row of the table can add. */
+  private static float atMost(byte[] table, int row, int[] columns, float[] units, int n) {
+    float x = 0;
+    for (int a = 0; a < n; a++) x += units[a] * (table[row + columns[a]] & 255);
+    return x;
+  }
+
+  /** The score of a document whose words are word[from] and on, for the query that has marked its words. */
+  private static double exact(int[] word, int[] count, int from, int to, int[] mark, int own, double[] weight, double norm) {
+    double score = 0;
+    for (int p = from; p < to; p++) {
+      int j = word[p];
+      if (mark[j] == own) score += weight[j] * (count[p] / (count[p] + norm));
+    }
+    return score;
+  }
+
+  private static void addAll(float[] s, int[] postings, int[] starts, int[] mine, int from, int to) {
+    for (int a = from; a < to; a++) addList(s, postings, starts[mine[a]], starts[mine[a] + 1]);
+  }
+
+  public Object call(Object docs_, Object lengths_, Object words_, Object starts_, Object places_, Object counts_, Object ids_, Object from_, Object own_, Object hashes_, Object code_, Object idf_, Object floor_, Object settings_) {
+    long[] docs = longs(docs_), lengths = longs(lengths_), words = longs(words_), ids = longs(ids_), hashes = longs(hashes_);
+    int[] starts = ints(starts_), counts = ints(counts_), from = ints(from_), own = ints(own_), code = ints(code_);
+    char[] place = chars(places_);
+    double[] idf = doubles(idf_), floor = doubles(floor_), settings = doubles(settings_);
+    double mean = settings[0], k1 = settings[1], b = settings[2];
+    int k = (int) settings[3], frequent = (int) settings[4], n = docs.length;
+    double[] norm = new double[n];
+    for (int d = 0; d < n; d++) norm[d] = k1 * (1 - b + b * lengths[d] / mean);
+
+    // lists of the block's words that the shard has: by code, the place of its list or -1
+    int[] list = new int[code.length];
+    Arrays.fill(list, -1);
+    int[] postings = new int[counts.length], column = new int[words.length];
+    float[] top = new float[words.length];
+    double[] weight = new double[words.length], byCode = new double[code.length];
+    int[] codeOf = new int[words.length];
+    int[] sizes = new int[words.length];
+    for (int j = 0; j < words.length; j++) sizes[j] = starts[j + 1] - starts[j];
+    Arrays.sort(sizes);
+    int wide = 0, common = Math.max(n / COMMON, words.length > frequent ? sizes[words.length - 1 - frequent] : 0);
+    for (int i = 0, j = 0; i < hashes.length && j < words.length; ) {
+      if (hashes[i] != words[j]) {
+        if (hashes[i] < words[j]) i++;
+        else j++;
+        continue;
+      }
+      list[code[i]] = j;
+      weight[j] = byCode[code[i]] = idf[i] * (k1 + 1);
+      codeOf[j] = code[i];
+      float most = 0;
+      for (int p = starts[j]; p < starts[j + 1]; p++) {
+        float x = (float) (weight[j] * (counts[p] / (counts[p] + norm[place[p]])));
+        postings[p] = Float.floatToRawIntBits(x) & -4096 | place[p];
+        most = Math.max(most, x);
+      }
+      top[j] = most * 1.0001f;
+      column[j] = starts[j + 1] - starts[j] > common ? wide++ : -1;
+      i++;
+      j++;
+    }
+    // document x frequent word: impacts in 255ths of the word's highest, rounded up
+    byte[] table = new byte[n * wide];
+    float[] unit = new float[wide];
+    for (int j = 0; j < words.length; j++) {
+      if (weight[j] == 0 || column[j] < 0) continue;
+      unit[column[j]] = top[j] / 255 * 1.0001f;
+      for (int p = starts[j]; p < starts[j + 1]; p++) {
+        double x = weight[j] * (counts[p] / (counts[p] + norm[place[p]]));
+        table[place[p] * wide + column[j]] = (byte) Math.min(255, (int) Math.ceil(x / unit[column[j]]));
+      }
+    }
+
+    // the documents' words
+    int[] ofDoc = new int[n + 2];
+    for (int j = 0; j < words.length; j++) {
+      if (weight[j] != 0) for (int p = starts[j]; p < starts[j + 1]; p++) ofDoc[place[p] + 2]++;
+    }
+    for (int d = 0; d < n; d++) ofDoc[d + 2] += ofDoc[d + 1];
+    int[] word = new int[ofDoc[n + 1]], count = new int[ofDoc[n + 1]];
+    for (int j = 0; j < words.length; j++) {
+      if (weight[j] == 0) continue;
+      for (int p = starts[j]; p < starts[j + 1]; p++) {
+        int at = ofDoc[place[p] + 1]++;
+        word[at] = codeOf[j];
+        count[at] = counts[p];
+      }
+    }
+
+    // whatever the share comes to, the hits are the same
+    double share = SPARE / 2;
+    int marked = -1;
+    int[] mark = new int[code.length];
+    float[] s = new float[SHARD];
+    float[] heap = new float[k];
+    int[] mine = new int[1024];
+    int[] near = new int[SHARD];
+    int[] columns = new int[wide];
+    float[] units = new float[wide];
+    long[] bestDoc = new long[k];
+    double[] best = new double[k];
+    ByteBuffer out = ByteBuffer.allocate(1 << 16).order(ByteOrder.LITTLE_ENDIAN);
+    for (int q = 0; q < ids.length; q++) {
+      int m = 0;
+      double bound = 0;
+      if (mine.length < from[q + 1] - from[q]) mine = new int[from[q + 1] - from[q]];
+      for (int p = from[q]; p < from[q + 1]; p++) {
+        int j = list[own[p]];
+        if (j >= 0) { mine[m++] = j; bound += top[j]; }
+      }
+      // postings have lost less than 2^-11 of their impact; a sum of m of them is off by less than this share of it
+      double margin = 5e-4 + (m + 8) * 1.2e-7;
+      double least = floor[q] - 2 / DIGITS;
+      if (m == 0 || bound * (1 + margin) < least) continue;
+      // the first lists, of the most frequent words, are looked at only for those that the others bring near the floor
+      int rest = 0;
+      double spare = 0;
+      while (rest < m && column[mine[rest]] >= 0 && spare + top[mine[rest]] <= share * least) {
+        units[rest] = unit[column[mine[rest]]];
+        columns[rest] = column[mine[rest]];
+        spare += top[mine[rest++]];
+      }
+      Arrays.fill(s, 0f);
+      addAll(s, postings, starts, mine, rest, m);
+      int held = 0, some = reaching(s, n, (float) Math.max((least - spare) * (1 - margin) - 1e-12, Float.MIN_VALUE), near);
+      if (rest > 0 || share == 0) share = Math.min(SPARE, Math.max(0, share + (some > n / 100 ? -0.05 : 0.01)));
+      double lim = least;
+      if (some > 4 * k && rest == 0) {  // the k-th best here
+        float kth = kth(s, near, some, heap);
+        lim = Math.max(lim, kth * (1 - margin) - 2 / DIGITS);
+      }
+      for (int f = 0; f < some; f++) {
+        int d = near[f];
+        double x = s[d] * (1 + margin);
+        if (x + spare < lim) continue;
+        x += atMost(table, d * wide, columns, units, rest);
+        if (x * (1 + margin) < lim) continue;
+        if (marked != q) {
+          for (int p = from[q]; p < from[q + 1]; p++) mark[own[p]] = q + 1;
+          marked = q;
+        }
+        double score = exact(word, count, ofDoc[d], ofDoc[d + 1], mark, q + 1, byCode, norm[d]);
+        if (score <= 0) continue;
+        score = Math.rint(score * DIGITS) / DIGITS;
+        if (score < floor[q]) continue;
+        if (held == k && (score < best[k - 1] || score == best[k - 1] && docs[d] >= bestDoc[k - 1])) continue;
+        int at = held < k ? held++ : k - 1;
+        while (at > 0 && (best[at - 1] < score || best[at - 1] == score && bestDoc[at - 1] > docs[d])) { best[at] = best[at - 1]; bestDoc[at] = bestDoc[at - 1]; at--; }
+        best[at] = score;
+        bestDoc[at] = docs[d];
+        if (held == k) lim = Math.max(lim, best[k - 1] - 2 / DIGITS);
+      }
+      if (out.remaining() < 24 * held) out = ByteBuffer.allocate(2 * out.capacity() + 24 * k).order(ByteOrder.LITTLE_ENDIAN).put(out.array(), 0, out.position());
+      for (int a = 0; a < held; a++) out.putLong(ids[q]).putLong(bestDoc[a]).putDouble(best[a]);
+    }
+    return Arrays.copyOf(out.array(), out.position());
+  }
+}
+"""
+
 
+def found_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of the kernel's hits in a task's shards, as rows."""
+    hits = np.zeros(0, [("query_id", "<i8"), ("doc_id", "<i8"), ("score", "<f8")])
+    waiting, n = [hits], 0
     for batch in batches:
-        for part in slices(batch, 2):
-            ids = part.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
-            length = part.column(1).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            raw, of = text_bytes(part.column(2))
-            words = raw[of[0] : of[-1]].view(np.uint64) if of[-1] > of[0] else np.zeros(0, np.uint64)
-            raw, own = text_bytes(part.column(3))
-            tf = raw[own[0] : own[-1]].view(np.int32) if own[-1] > own[0] else np.zeros(0, np.int32)
-            d = np.repeat(np.arange(part.num_rows), np.diff(of) // 8)
-            t = known.find(words)
-            kept = t >= 0
-            parts.append((ids, length, (d[kept] + n).astype(np.int32), t[kept].astype(np.int32), tf[kept]))
-            n, m = n + part.num_rows, m + int(kept.sum())
-            if n >= GROUP_ROWS or m >= GROUP_POSTINGS:
-                yield whole()
-                trim()
-                n = m = 0
-    if parts:
-        yield whole()
-        trim()
-
-
-def search_rows(batches: Iterator[pa.RecordBatch], q: Queries, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
-    """Documents of the index -> the k best hits of every query among those of this task."""
-    known, best = Lookup(q.words), Best(q.floor, k)
-    columns = []
-    for most in q.frequent:
-        columns.append(np.full(len(q.words), -1, np.int32))
-        columns[-1][most] = np.arange(len(most))
-    s, place = np.zeros((CHUNK, SHARD)), np.full(len(q.words), -1, np.int32)
-    for ids, length, d, t, tf in groups(batches, known):
-        impact = (k1 * (1 - b + b * length / q.mean_length))[d]
-        impact += tf
-        np.divide(tf, impact, out=impact)
-        impact *= q.idf[t]
-        impact *= k1 + 1
-        weights = np.zeros((max(1, len(columns)), len(ids)))
-        for w, c in zip(weights, columns, strict=False):
-            some = np.flatnonzero(c[t] >= 0)
-            w[:] = np.bincount(d[some], impact[some], len(ids))
-        order = np.lexsort((-weights.max(0), weights.argmax(0)))
-        # postings come document by document, so a shard's are the slices of its documents
-        at, ids = np.searchsorted(d, np.arange(len(order) + 1)), ids[order]
-        for lo in range(0, len(ids), SHARD):
-            hi = min(len(ids), lo + SHARD)
-            docs = order[lo:hi]
-            n = at[docs + 1] - at[docs]
-            d_own = np.repeat(np.arange(hi - lo), n)
-            own_ = np.repeat(at[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shard = Shard(ids[lo:hi], d_own, t[own_].astype(np.int64), impact[own_])
-            place[shard.words] = np.arange(len(shard.words))
-            for chunk in q.chunks:
-                search_shard(shard, q, chunk, best, s, place, columns[chunk.cluster])
-            place[shard.words] = -1
-    best.merge()
-    r, c = np.nonzero(np.isfinite(best.score))
-    hit = best.id[r, c]
-    yield pa.RecordBatch.from_arrays([pa.array(q.ids[r]), pa.array(hit, mask=hit == LAST), pa.array(best.score[r, c])], names=["query_id", "doc_id", "score"])
-
-
-def own(x):
-    """An array that was unpickled, with numpy's own type object: with another one, even if equal, ``np.add.at`` takes fifty times as long."""
-    return x.view(x.dtype.type) if isinstance(x, np.ndarray) else x
-
-
-def search_block(index: DataFrame, sent: Broadcast, floor: np.ndarray, k: int, k1: float, b: float, so_far: DataFrame | None) -> DataFrame:
-    """query_id, rank, doc_id, score of a block of queries in some documents of the index and those found so far, in the shared folder."""
+        for i in range(batch.num_rows):
+            waiting.append(np.frombuffer(batch.column(0)[i].as_buffer(), hits.dtype).copy())
+            n += len(waiting[-1])
+            if n >= WAITING:
+                waiting, n = [best_of(np.concatenate(waiting), k)], 0
+    hits = best_of(np.concatenate(waiting), k)
+    doc = np.ascontiguousarray(hits["doc_id"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hits["query_id"])), pa.array(doc, mask=doc == LAST), pa.array(np.ascontiguousarray(hits["score"]))], names=["query_id", "doc_id", "score"])
+
+
+def best_of(hits: np.ndarray, k: int) -> np.ndarray:
+    hits = hits[np.lexsort((hits["doc_id"], -hits["score"], hits["query_id"]))]
+    q = hits["query_id"]
+    return hits[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def search_block(index: DataFrame, q: Queries, k: int, k1: float, b: float, frequent: int, so_far: DataFrame | None) -> DataFrame:
+    """query_id, rank, doc_id, score of a block of queries in some shards and those found so far, in the shared folder."""
+    spark = index.sparkSession
+    columns = q.ids, q.starts, q.own, q.words, q.code, q.idf, q.floor, np.array([q.mean_length, k1, b, k, frequent], np.float64)
+    names = BLOCK.replace(" binary", "").split(", ")
+    # the arrays' own memory, not a copy
+    block = spark.createDataFrame(pa.table({name: pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)]) for name, x in zip(names, columns, strict=True)}))
+    kernel = jvm.register(spark, "Bm25Shard", KERNEL)
+    pairs = index.select("docs", "lengths", "words", "starts", "places", "counts").crossJoin(F.broadcast(block))
+    packed = pairs.select(F.call_function(kernel, "docs", "lengths", "words", "starts", "places", "counts", *names).alias("hits"))
 
     def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, idf, chunks, frequent, mean_length = sent.value
-        yield from search_rows(batches, Queries(ids, words, own(idf), [Chunk(*map(own, c)) for c in chunks], frequent, mean_length, own(floor)), k, k1, b)
+        yield from found_rows(batches, k)
 
-    hits = index.mapInArrow(pass_, "query_id long, doc_id long, score double")
+    hits = packed.mapInArrow(pass_, "query_id long, doc_id long, score double")
     return keep(ranked(hits if so_far is None else hits.unionAll(so_far.drop("rank")), k))
 
 
@@ -472,53 +457,64 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 16_384, frequent: int = 1024, clusters: int = 6, tiers: tuple[int, ...] = (256, 16)) -> DataFrame:
-    """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score."""
-    ship(__name__, WordHasher.__module__)
-    with setting(docs.sparkSession, *READER_ROWS):
-        return found_in_tiers(docs, queries, k, k1, b, query_block, frequent, clusters, tiers)
-
+    """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score.
 
-def found_in_tiers(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: float, query_block: int, frequent: int, clusters: int, tiers: tuple[int, ...]) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored = keep(texts.mapInArrow(index_rows, INDEX), **SMALL_GROUPS)
-    index = stored.where("NOT df")
-    frequencies = keep(stored.where("df").mapInArrow(df_rows, "word long, df long, total long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
-    own = keep(queries.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(query_rows, "id long, words array<long>"))
+    frequent: dense lists of a shard at most; clusters: groups of like documents in a shard."""
+    ship(__name__, WordHasher.__module__)
+    spark = docs.sparkSession
+    with setting(spark, READER_ROWS, "256"):
+        parts = index_of(docs, clusters, tiers)
+        own = keep(queries.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(query_rows, "id long, words array<long>"))
+    with setting(spark, READER_ROWS, "4"):
+        return found_in_tiers(spark, parts, own, k, k1, b, query_block, frequent)
+
+
+def found_in_tiers(spark: SparkSession, parts: list[DataFrame], own: DataFrame, k: int, k1: float, b: float, query_block: int, frequent: int) -> DataFrame:
+    found = spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    if not parts:
+        return found
+    lists = parts[0]
+    for part in parts[1:]:
+        lists = lists.unionAll(part)
+    frequencies = keep(lists.select("n", "total", "words", "starts").mapInArrow(df_rows, "word long, df long, total long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
     stats = frequencies.where("word IS NULL").first()
-    parts = tiers_of(index, stats.df, tiers) if stats else []
-    n_blocks = -(-own.count() // query_block) if stats else 0
-    found = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    n_queries, n_words = own.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    n_blocks = max(-(-n_queries // query_block), -(-(n_words or 0) // BLOCK_WORDS))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    known = keep(own.select("block", F.explode("words").alias("word")).distinct().join(frequencies, "word").select("block", "word", "df"))
     for block in range(n_blocks):
-        rows = own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
-        words = rows.select(F.explode("words").alias("word")).distinct()
-        df = frequencies.join(words, "word").select("word", "df").toArrow()
-        q = prepared(rows.select("id", "words").toArrow(), df, stats.df, stats.total / max(1, stats.df), frequent, clusters)
-        # plain arrays, which need none of this package's classes; removed before the next block's are made
-        sent = docs.sparkSession.sparkContext.broadcast((q.ids, q.words, q.idf, [tuple(vars(c).values()) for c in q.chunks], q.frequent, q.mean_length))
-        by_id, floor, best = np.argsort(q.ids), q.floor, None
-        del q.chunks[:]
+        mine = F.col("block") == block
+        q = prepared(own.where(mine).select("id", "words").toArrow(), known.where(mine).select("word", "df").toArrow(), stats.df, stats.total / max(1, stats.df))
+        best = None
         for part in parts:
             if best is not None:
                 kth = best.where(F.col("rank") == k).select("query_id", "score").toArrow()
-                at = by_id[np.searchsorted(q.ids, kth.column("query_id").to_numpy(), sorter=by_id)]
-                floor[at] = np.maximum(floor[at], kth.column("score").to_numpy() - 10.0**-DIGITS)
-            best = search_block(part, sent, floor, k, k1, b, best)
-        sent.destroy()
+                at = np.searchsorted(q.ids, kth.column("query_id").to_numpy())
+                q.floor[at] = np.maximum(q.floor[at], kth.column("score").to_numpy() - 10.0**-DIGITS)
+            best = search_block(part, q, k, k1, b, frequent, best)
         found = found.unionAll(best)
     return found
 
 
-def tiers_of(index: DataFrame, n: int, tiers: tuple[int, ...]) -> list[DataFrame]:
-    """The index in parts, the longest documents first: one in ``tiers[0]``, one in ``tiers[1]``, ..., the rest.
+def index_of(docs: DataFrame, clusters: int, tiers: tuple[int, ...]) -> list[DataFrame]:
+    """The index in parts, in the shared folder, the longest documents first: one in ``tiers[0]``, one in ``tiers[1]``, ..., the rest.
 
     Documents of equal length are dealt by a hash of their ids. The small first parts are shuffled. A task has some thousand documents, however
-    the files are cut, so that its own k-th best scores soon keep it from handing on what others have better."""
-    weight = F.col("length") + F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(65_536)), F.lit(0)) / 65_536
-    at = index.agg(F.percentile_approx(weight, [1 - 1 / t for t in tiers], 100_000)).first()[0]
+    the files are cut, so that shards are whole and tasks hand on few hits that others have better."""
+
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from index_rows(batches, clusters)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(65_536)), F.lit(0)) / 65_536
+    n, at = texts.agg(F.count(F.lit(1)), F.percentile_approx(weight, [1 - 1 / t for t in tiers], 100_000)).first()
+    if not n:
+        return []
     parts, above = [], None
     for t, least in zip(tiers, at, strict=True):
         own = (weight >= least) & (F.lit(True) if above is None else weight < above)
         tasks = max(1, n // t // (TASK_DOCS // 4))
-        parts.append(index.where(own).repartition(tasks, F.monotonically_increasing_id()).coalesce(tasks))
+        parts.append((texts.where(own).repartition(tasks, F.monotonically_increasing_id()), tasks))
         above = least
-    return [*parts, (index.where(weight < above) if above is not None else index).coalesce(max(1, n // TASK_DOCS))]
+    parts.append((texts.where(weight < above) if above is not None else texts, max(1, n // TASK_DOCS)))
+    return [keep(part.coalesce(tasks).mapInArrow(pass_, INDEX), **SMALL_GROUPS).coalesce(tasks) for part, tasks in parts]
