@@ -10,7 +10,8 @@ shards compare and their local top k merge to the exact one.
 2. Queries are worked on in blocks of at most ``query_block`` (fewer if they are long), each with a pass over the index; words and frequencies of
    a block are one row that Spark broadcasts, so neither driver nor tasks ever hold two.
 3. The search itself (``KERNEL``, Java that the driver compiles) takes a shard and a block: query by query it adds the impacts of the query's lists in the shard
-   to a row of scores that stays in the core's cache. Dense lists are rows of their documents' range, added many at a time; the others are walked through.
+   to a row of scores that stays in the core's cache. The most frequent words' lists are left out as long as their highest impacts stay below a share of the floor;
+   only documents that the other lists bring within that reach of the floor look them up, as bytes rounded up. The share adapts to the shard and changes no result.
    A query whose words' highest impacts in the shard don't come to its k-th best score so far has no hit there and is passed over.
    Sums are in single precision with a margin beyond their rounding; what may be among the k best and reaches the k-th best so far is scored in double precision.
 4. Documents are searched in tiers, the longest first, since most of the best hits are among them: one document in 256, one in 16,
@@ -459,7 +460,7 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, query_block: int = 16_384, frequent: int = 1024, clusters: int = 6, tiers: tuple[int, ...] = (256, 16)) -> DataFrame:
     """docs (doc_id, text), queries (id, text) -> query_id, rank, doc_id, score.
 
-    frequent: dense lists of a shard at most; clusters: groups of like documents in a shard."""
+    frequent: words of a shard that can be left to the end, at most; clusters: groups of like documents in a shard."""
     ship(__name__, WordHasher.__module__)
     spark = docs.sparkSession
     with setting(spark, READER_ROWS, "256"):
