@@ -24,6 +24,8 @@ gives an empty result; extra columns stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, key (hash of the text), line: the lines to be deleted."""
     some = repeated(lines(docs.select("doc_id", "text")))
     blocks = shortest_blocks(some, min_words)
-    names, step, spans = some.select("pos", "doc_id", "key", "name"), 1, None
+    names, step, spans = some.select("pos", "doc_id", "key", "name"), 1, []
     while True:
         ours = blocks.where(F.col("r").between(step, 2 * step - 1))
         ends = names.select("pos", "doc_id", "key", F.col("name").alias("then"))
@@ -81,11 +83,11 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
         found = found.join(ends.toDF("at", "d", "k", "then"), "at").where("doc_id <=> d AND key = k").select("pos", "r", "name", "then")
         first = found.groupBy("r", "name", "then").agg(F.min("pos").alias("first"))
         again = found.join(first, ["r", "name", "then"]).where("first < pos").select("pos", (F.col("pos") + F.col("r") - 1).alias("until"))
-        spans = again if spans is None else spans.unionAll(again)
+        spans.append(keep(again))  # a plan over all rounds would be planned anew in the driver whenever one of its stages ends
         if 2 * step > min_words or blocks.where(F.col("r") >= 2 * step).isEmpty():
             break
         names, step = double(names, step), 2 * step
-    reach = spans.groupBy("pos").agg(F.max("until").alias("until"))
+    reach = reduce(DataFrame.unionAll, spans).groupBy("pos").agg(F.max("until").alias("until"))
     doc = Window.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = some.join(reach, "pos", "left").withColumn("until", F.max("until").over(doc))
     return covered.where("until >= pos").select("doc_id", "key", "line")

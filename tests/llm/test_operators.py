@@ -168,6 +168,14 @@ def test_line_dedup_odd_rows(spark):
     assert linededup.deduplicated(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_plans_do_not_grow_with_rounds(spark):
+    text = "\n".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "other")], "doc_id long, text string")
+    plans = {n: linededup.later_copies(docs, n) for n in (1, 50)}  # one round, six rounds
+    assert all({(r.doc_id, r.line) for r in p.collect()} == {(2, i) for i in range(60)} for p in plans.values())
+    assert len({p._jdf.queryExecution().optimizedPlan().toString().count("Join ") for p in plans.values()}) == 1
+
+
 # search
 
 
